@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, substrings
 
 QUERIES = {
     "op5_decontamination": decontaminate.op5,
+    "op6_substring_dedup": substrings.op6,
 }
 
 SQL: dict[str, str] = {}
