@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, substrings
+from . import decontaminate, near, substrings
 
 QUERIES = {
     "op5_decontamination": decontaminate.op5,
     "op6_substring_dedup": substrings.op6,
+    "op9_jaccard_join": near.op9,
 }
 
 SQL: dict[str, str] = {}
