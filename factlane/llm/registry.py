@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, near, substrings
+from . import decontaminate, language, mixture, near, substrings
 
 QUERIES = {
     "op4_language_id": language.op4,
     "op5_decontamination": decontaminate.op5,
     "op6_substring_dedup": substrings.op6,
+    "op7_mixture": mixture.op7,
     "op9_jaccard_join": near.op9,
 }
 
