@@ -14,7 +14,6 @@ hits nothing; an empty documents table gives an empty result.  Other columns are
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +28,8 @@ WINDOW = 10
 #: Bytes of benchmark text held at once by the driver and by each task; more is searched block by block.
 BLOCK_BYTES = 8 << 20
 
-INDEX = ("doc_ids array<bigint>, n_words array<int>, terms binary, counts binary, postings binary")
-HITS = "doc_id bigint, n_words bigint, n_hit bigint, spans binary, items array<string>, n_near bigint"
+INDEX = ("doc_ids array<bigint>, digests array<bigint>, n_words array<int>, terms binary, counts binary, postings binary")
+HITS = "doc_id bigint, digest bigint, n_words bigint, n_hit bigint, spans binary, items array<string>, n_near bigint"
 
 
 def _segment(batch: pa.RecordBatch) -> dict:
@@ -47,17 +46,18 @@ def _segment(batch: pa.RecordBatch) -> dict:
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """The stored segments of (doc_id, text)."""
+    """The stored segments of (doc_id, text); a document is told from others of its doc_id by a digest of the text."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.merged_blocks(batches):
             s = _segment(batch)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([s["doc_ids"]], pa.list_(pa.int64())), pa.array([s["n_words"]], pa.list_(pa.int32())),
+                [pa.array([s["doc_ids"]], pa.list_(pa.int64())), pa.array([batch.column("digest").to_numpy()], pa.list_(pa.int64())), pa.array([s["n_words"]], pa.list_(pa.int32())),
                  *(pa.array([s[k]], pa.binary()) for k in ("terms", "counts", "postings"))],
-                names=["doc_ids", "n_words", "terms", "counts", "postings"])
+                names=["doc_ids", "digests", "n_words", "terms", "counts", "postings"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest"))
     return stored(rows.mapInArrow(pack, INDEX), "postings")
 
 
@@ -76,7 +76,7 @@ class Block:
                 rows.append(np.pad(part, (0, window - len(part)), constant_values=-1))
                 owner.append(k)
         table = np.array(rows, np.int64).reshape(len(rows), window)
-        both, kept = np.unique(np.column_stack([table, np.array(owner, np.int64).reshape(-1, 1)]), axis=0, return_index=True)
+        both = np.unique(np.column_stack([table, np.array(owner, np.int64).reshape(-1, 1)]), axis=0)
         self.table, self.owner = both[:, :window], both[:, window]
         self.length = (self.table >= 0).sum(axis=1)
 
@@ -154,7 +154,7 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str |
 
 def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None,
            block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, items (names of the items with occurring windows), n_near."""
+    """Per document: doc_id, digest, n_words, n_hit, spans (hit word ranges), items (with occurring windows), n_near."""
     parts = []
     for items in _blocks(benchmark, block_bytes):
         block = Block(items, window)
@@ -170,7 +170,7 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
     both = parts[0].withColumn("row", F.lit(0))
     for k, part in enumerate(parts[1:], 1):
         both = both.unionByName(part.withColumn("row", F.lit(k)))
-    merged = (both.groupBy("doc_id", "n_words")
+    merged = (both.groupBy("doc_id", "digest", "n_words")
               .agg(F.collect_list("spans").alias("spans"),
                    F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
                    F.sum("n_near").alias("n_near"), F.count(F.when(F.col("row") == 0, 1)).alias("times")))
@@ -187,13 +187,13 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
                     last = max(last, b)
                 # equal rows of a repeated doc_id have equal spans: one result row for each of them
                 r |= {"n_hit": int(n_hit), "spans": spans.tobytes()}
-            rows = [{k: r[k] for k in ("doc_id", "n_words", "n_hit", "spans", "items", "n_near")} for r in out for _ in range(r["times"])]
+            rows = [{k: r[k] for k in ("doc_id", "digest", "n_words", "n_hit", "spans", "items", "n_near")} for r in out for _ in range(r["times"])]
             yield pa.RecordBatch.from_pylist(rows, schema=_HITS)
 
     return merged.mapInArrow(join_spans, HITS)
 
 
-_HITS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.binary()),
+_HITS = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.binary()),
                    ("items", pa.list_(pa.string())), ("n_near", pa.int64())])
 
 
@@ -222,7 +222,7 @@ def _hits(row: dict, block: Block, slop: int | None) -> pa.RecordBatch:
             spans[owner[a]] = (pairs[a:b] - first[owner[a]]).astype(np.int64).tobytes()
     close = np.bincount(np.searchsorted(first, near, "right") - 1, minlength=len(ids)) if len(near) else np.zeros(len(ids), np.int64)
     return pa.RecordBatch.from_arrays(
-        [W.ids_out(ids), pa.array(n_words), pa.array(per_doc), pa.array(spans, pa.binary()),
+        [W.ids_out(ids), pa.array(row["digests"], pa.int64()), pa.array(n_words), pa.array(per_doc), pa.array(spans, pa.binary()),
          pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array(close, pa.int64())], schema=_HITS)
 
 
@@ -238,5 +238,3 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.concat_ws(",", F.array_sort("items")).cast("binary"), 256).alias("items_sha256"),
                         (F.col("n_hit") > 0).alias("contaminated"))
 
-
-EMPTY = hashlib.sha256(b"").hexdigest()

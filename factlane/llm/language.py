@@ -90,7 +90,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang, (grams, kinds) in tables.items():
         both = np.append(grams, kinds)
         at = np.flatnonzero(both)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(both[at])],
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(both[at])],
                                          names=["lang", "feature", "n"])
 
 
@@ -227,7 +227,7 @@ def judge(model: Model, texts: pa.Array, penalty: float = PENALTY) -> tuple[list
     margin = np.clip(lead - sums.max(axis=1), -30, 30) if n_langs > 1 else np.full(n, 30.0)
     score = share / (1 + np.exp(-margin))
     cut = np.flatnonzero(np.append(True, (path[1:] != path[:-1]) | (doc[1:] != doc[:-1]))) if len(path) else np.zeros(0, np.int64)
-    for a, b in zip(cut.tolist(), np.append(cut[1:], len(path)).tolist(), strict=True):
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(path)], strict=False):
         d = doc[a]
         if letter[d]:
             spans[d].append({"start": a - int(first[d]), "end": b - int(first[d]), "lang": model.langs[path[a]]})

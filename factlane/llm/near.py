@@ -38,7 +38,7 @@ RECALL = 0.9999
 BLOCK = 1024
 #: Left-over buckets of at most so many members are compared as pairs; larger ones in blocks.
 SMALL = 8
-SIGNATURES = "doc_id bigint, node binary, size int, bands array<bigint>"
+SIGNATURES = "doc_id bigint, digest bigint, node binary, size int, bands array<bigint>"
 SETS = "node binary, grams binary"
 
 
@@ -125,9 +125,9 @@ def _sign(n: int, bands: int, rows: int):
             hashed = signatures(grams, at, bands, rows)
             offsets = np.append(0, np.cumsum(np.where(sizes > 0, bands, 0))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(W.long_ids(batch.column("doc_id"))), pa.array(nodes(grams, at), pa.binary()), pa.array(sizes.astype(np.int32)),
+                [pa.array(W.long_ids(batch.column("doc_id"))), batch.column("digest"), pa.array(nodes(grams, at), pa.binary()), pa.array(sizes.astype(np.int32)),
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashed.ravel().view(np.int64)))],
-                names=["doc_id", "node", "size", "bands"])
+                names=["doc_id", "digest", "node", "size", "bands"])
 
     return sign
 
@@ -290,17 +290,22 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Per row of (doc_id, text): doc_id, class_id, n_links, n_copies."""
+    """Per row of (doc_id, text): doc_id, class_id, n_links, n_copies, digest (xxhash64 of the text) and keeper.
+
+    keeper marks the rows of one doc_id and text in each class: where it is set, one document of each class stays
+    once rows that are equal in both are dropped.
+    """
     bands, rows = band_plan(threshold, recall)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest"))
     signed = stored(texts.mapInArrow(_sign(n, bands, rows), SIGNATURES), "near-signatures")
     classes = stored(signed.where("node is not null").groupBy("node")
-                     .agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "near-classes")
+                     .agg(F.min(F.struct("doc_id", "digest")).alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "near-classes")
     banded = classes.select("node", F.explode("bands").alias("bucket"))
     leaders = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stored(banded.join(leaders.drop("n"), "bucket"), "near-members")
 
-    wanted = members.select("node").distinct().join(classes, "node").select(F.col("doc").alias("doc_id")).distinct()
+    wanted = members.select("node").distinct().join(classes, "node").select("doc.doc_id").distinct()
     sets = stored(texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(W.NULL_ID))).join(wanted.hint("merge"), "doc_id", "left_semi")
                   .mapInArrow(_sets(n), SETS), "near-sets")
 
@@ -327,16 +332,25 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     degrees = (by_group(grouped, ["label", "i", "j"], _degrees(threshold), "node binary, links bigint", ["node", "links"])
                .groupBy("node").agg(F.sum("links").alias("links")))
     named = labels.join(classes.select("node", "doc"), "node")
-    ids = named.groupBy("label").agg(F.min("doc").alias("class_id"))
-    linked = named.join(ids, "label").join(degrees, "node", "left").select("node", "class_id", "links")
+    first = named.groupBy("label").agg(F.min("doc").alias("first"))
+    linked = named.join(first, "label").join(degrees, "node", "left").select("node", "first", "links")
     per_node = (classes.select("node", "doc", "copies").join(linked, "node", "left")
-                .select("node", "copies", F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")))
-    blank = lambda c: F.when(F.col(c) != W.NULL_ID, F.col(c))
-    return (signed.select("doc_id", "node").join(per_node, "node", "left")
-            .withColumn("class_id", F.coalesce("class_id", "doc_id"))
-            .select(blank("doc_id").alias("doc_id"), blank("class_id").alias("class_id"),
-                    (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies")))
+                .select("node", "copies", F.coalesce("first", "doc").alias("first"), F.coalesce("links", F.lit(0)).alias("links")))
+    blank = lambda c: F.when(c != W.NULL_ID, c)
+    own = F.struct("doc_id", "digest")
+    return (signed.select("doc_id", "digest", "node").join(per_node, "node", "left").withColumn("first", F.coalesce("first", own))
+            .select(blank(F.col("doc_id")).alias("doc_id"), blank(F.col("first.doc_id")).alias("class_id"),
+                    (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
+                    F.coalesce("copies", F.lit(1)).alias("n_copies"), "digest", (F.col("first") == own).alias("keeper")))
+
+
+def keep_one(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows of docs that stand for their class: one document of each."""
+    keys = ["_digest", "_id"]
+    stay = judged.where("keeper").select(F.col("digest").alias("_digest"), F.coalesce("doc_id", F.lit(W.NULL_ID)).alias("_id")).distinct()
+    keyed = docs.withColumns({"_digest": F.xxhash64(F.col("text").cast("string")), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(W.NULL_ID))})
+    return keyed.join(stay, keys, "left_semi").dropDuplicates(keys).drop(*keys)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "n_links", "n_copies")

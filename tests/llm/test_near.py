@@ -39,7 +39,7 @@ def brute(docs, threshold=0.8):
 
 
 def rows(df):
-    return sorted(tuple(-1 if x is None else x for x in r) for r in df.collect())
+    return sorted(tuple(-1 if x is None else x for x in r) for r in df.select("doc_id", "class_id", "n_links", "n_copies").collect())
 
 
 def test_band_plan():
@@ -65,6 +65,9 @@ def test_fixture_against_brute_force(spark, monkeypatch):
     got, want = rows(N.jaccard_join(d)), brute(docs)
     assert got == want
     assert max(x[2] for x in want) > 3
+    kept = N.keep_one(d, N.jaccard_join(d)).collect()
+    empty = {i for i, t in docs if not grams(t)}
+    assert len(kept) == len({x[1] for x in want if x[0] not in empty and x[1] >= 0}) + len(empty) + 1  # the class of the null ids
     assert N.jaccard_join(d.limit(0)).count() == 0
 
 
