@@ -249,7 +249,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, with_text:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded, see LANGUAGES_MOST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.blocks(batches, 8 * W.PIECE // max(1, len(shared.value.langs) // 4)):
+        for batch in W.blocks(batches, 2 * W.PIECE // max(1, len(shared.value.langs) // 8)):
             names, score, spans = judge(shared.value, batch.column("text"), penalty)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(f.name) for f in held), pa.array(names, pa.string()), pa.array(score), pa.array(spans, _SPANS)],
