@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixture, near, substrings
+from . import decontaminate, language, mixture, near, substrings, urls
 
 QUERIES = {
+    "op3_url_filter": urls.op3,
     "op4_language_id": language.op4,
     "op5_decontamination": decontaminate.op5,
     "op6_substring_dedup": substrings.op6,
