@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixture, near, substrings, urls
+from . import decontaminate, language, mixture, near, substrings, tokens, urls
 
 QUERIES = {
     "op3_url_filter": urls.op3,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_decontamination": decontaminate.op5,
     "op6_substring_dedup": substrings.op6,
     "op7_mixture": mixture.op7,
+    "op8_token_counts": tokens.op8,
     "op9_jaccard_join": near.op9,
 }
 
