@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, media, mixture, near, substrings, tokens, urls
+from . import decontaminate, language, media, mixture, near, quality, substrings, tokens, urls
 
 QUERIES = {
     "op1_media_columns": media.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_mixture": mixture.op7,
     "op8_token_counts": tokens.op8,
     "op9_jaccard_join": near.op9,
+    "op10_quality_classifier": quality.op10,
 }
 
 SQL: dict[str, str] = {}
