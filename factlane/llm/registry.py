@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, media, mixture, near, quality, substrings, tokens, urls
+from . import decontaminate, language, media, mixture, near, quality, scoring, substrings, tokens, urls
 
 QUERIES = {
     "op1_media_columns": media.op1,
+    "op2_lm_scoring": scoring.op2,
     "op3_url_filter": urls.op3,
     "op4_language_id": language.op4,
     "op5_decontamination": decontaminate.op5,

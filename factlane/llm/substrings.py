@@ -104,9 +104,7 @@ class Windows:
         self.local = sorted_ids[last] != self.least if len(first) else np.zeros(0, bool)
 
     def entries(self, batch: str, level: int, n_buckets: int, width: int) -> Iterator[dict]:
-        step = -(-(1 << width) // n_buckets)
-        cut = np.searchsorted(self.keys, np.minimum(np.arange(n_buckets + 1, dtype=object) * step, (1 << width) - 1).astype(np.uint64))
-        cut[-1] = len(self.keys)
+        cut = W.cuts(self.keys, n_buckets, width)
         for b in np.flatnonzero(np.diff(cut)):
             a, z = cut[b], cut[b + 1]
             keys = self.keys[a:z]

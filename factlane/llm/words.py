@@ -170,6 +170,15 @@ def window_starts(first: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(ok)
 
 
+def cuts(keys: np.ndarray, n_buckets: int, width: int = 64) -> np.ndarray:
+    """Where each of n_buckets equal ranges of hashes of ``width`` bits begins in sorted keys."""
+    step = -(-(1 << width) // n_buckets)
+    bounds = np.minimum(np.arange(n_buckets + 1, dtype=object) * step, (1 << width) - 1).astype(np.uint64)
+    out = np.searchsorted(keys, bounds)
+    out[-1] = len(keys)
+    return out
+
+
 def blocks(batches: Iterator[pa.RecordBatch], limit: int = PIECE, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Rows in order, in slices of about ``limit`` bytes of text (one row at least)."""
     for batch in batches:
