@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..plans.request import InvalidInput
 from ..sources import artifact as S
+from ..sources.store import settled
 from . import algebra as A
 
 ROOT = "loader string, root_ordinal int, container_id string, prefix binary"
@@ -79,13 +80,14 @@ def hierarchy(u: DataFrame, roots: DataFrame) -> DataFrame:
     above = c.select("def_key", F.col("super_class").alias("name"), F.lit("extends").alias("kind")).where("name is not null").unionByName(
         c.select("def_key", F.explode("interfaces").alias("name"), F.lit("implements").alias("kind")))
     found = definitions(u, roots, above)
-    return above.join(found.where("state = 'resolved'").select("name", F.col("def_key").alias("parent")), "name", "left").select(F.col("def_key").alias("child"), "parent", "kind", "name")
+    edges = above.join(found.where("state = 'resolved'").select("name", F.col("def_key").alias("parent")), "name", "left")
+    return settled(edges.select(F.col("def_key").alias("child"), "parent", "kind", "name"), "hierarchy")
 
 
-def supertypes(u: DataFrame, roots: DataFrame, depth: int = 8) -> DataFrame:
+def supertypes(u: DataFrame, roots: DataFrame, depth: int = 8, edges: DataFrame | None = None) -> DataFrame:
     """(root, node, depth): each definition's supertypes within ``depth`` edges, the definition itself at 0."""
-    edges = hierarchy(u, roots).where("parent is not null").select("child", "parent").distinct()
-    return A.closure(edges, S.classes(u).select(F.col("def_key").alias("root")).distinct(), depth)
+    known = (hierarchy(u, roots) if edges is None else edges).where("parent is not null").select("child", "parent").distinct()
+    return settled(A.closure(known, S.classes(u).select(F.col("def_key").alias("root")).distinct(), depth), "supertypes")
 
 
 def resolve_members(u: DataFrame, roots: DataFrame, wanted: DataFrame, depth: int = 8) -> DataFrame:
@@ -97,7 +99,8 @@ def resolve_members(u: DataFrame, roots: DataFrame, wanted: DataFrame, depth: in
     keys = ["kind", "owner", "name", "descriptor"]
     asked = wanted.select(*keys).distinct()
     owners = definitions(u, roots, asked.select(F.col("owner").alias("name"))).select(F.col("name").alias("owner"), F.col("state").alias("owner_state"), F.col("def_key").alias("root"))
-    up = supertypes(u, roots, depth)
+    edges = hierarchy(u, roots)
+    up = supertypes(u, roots, depth, edges)
     headers = S.classes(u).select(F.col("def_key").alias("node"), (F.col("flags").bitwiseAND(INTERFACE) != 0).alias("interface"))
     declared = S.members(u).select(F.col("def_key").alias("node"), "kind", "name", "descriptor", F.col("flags").alias("member_flags"), F.col("index").alias("member_index"))
     hits = (asked.join(owners.where("owner_state = 'resolved'"), "owner").join(up, "root").join(headers, "node").join(declared, ["node", "kind", "name", "descriptor"])
@@ -106,7 +109,7 @@ def resolve_members(u: DataFrame, roots: DataFrame, wanted: DataFrame, depth: in
     w = Window.partitionBy(*keys)
     best = hits.withColumn("rank", rank).withColumn("best", F.min("rank").over(w)).where(F.col("rank") == F.col("best"))
     best = best.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "member_index", "member_flags")).alias("hit"))
-    open_above = (up.join(hierarchy(u, roots).where("parent is null").select(F.col("child").alias("node")).distinct(), "node").select("root").distinct().withColumn("open", F.lit(True)))
+    open_above = (up.join(edges.where("parent is null").select(F.col("child").alias("node")).distinct(), "node").select("root").distinct().withColumn("open", F.lit(True)))
     told = asked.join(owners, "owner", "left").join(best, keys, "left").join(open_above, "root", "left")
     state = (F.when(F.col("owner_state") != "resolved", F.col("owner_state")).when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "ambiguous")
              .when(F.col("open"), "incomplete").otherwise("missing"))
@@ -148,3 +151,13 @@ def reflection_patterns(u: DataFrame) -> DataFrame:
     return told.select("def_key", "this_class", "member_index", "bci", "owner", "name", "names", F.when(loads, F.col("constant")).alias("target"),
                        F.when(loads, "pattern_inferred_target").otherwise("unknown").alias("state"),
                        F.when(loads, "constant_operand").when(F.col("source_opcode").isNull(), "no_source").otherwise("operand_not_constant").alias("reason"))
+
+
+def callees(u: DataFrame, roots: DataFrame, def_key: str, member_index: int) -> DataFrame:
+    """The bodies that one body names: each call with its physical definition and code, read for those members alone."""
+    calls = S.xrefs(u.where(F.col("def_key") == def_key)).where((F.col("consumer") == "invocation") & (F.col("member_index") == member_index))
+    asked = calls.select(F.lit("method").alias("kind"), "owner", "name", "descriptor").distinct()
+    told = resolve_members(u, roots, asked)
+    bodies = S.members(u).where("has_code").select(F.col("def_key").alias("declared_in"), F.col("index").alias("callee_index"), "code_length")
+    on = (told["declared_in"] == bodies["declared_in"]) & (told["member_index"] == bodies["callee_index"])
+    return told.join(bodies, on, "left").select("owner", "name", "descriptor", "state", told["declared_in"], "callee_index", "code_length")

@@ -26,6 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions import classfile as C
+from ..functions import modern
 from ..functions.references import References
 from ..functions.schema import struct
 
@@ -36,11 +37,12 @@ HANDLER = "member_index int, start int, end int, target int, type binary"
 ATTRIBUTE = "owner_kind string, owner_index int, name binary, start bigint, length bigint"
 XREF = ("consumer string, target_kind string, owner binary, name binary, descriptor binary, member_index int, bci int, cp_index int, lit_kind string, lit_bits bigint, lit_utf binary, "
         "via string, opcode int, relation string, derivation string, certainty string, resolution string")
+MODERN = "fact string, name binary, value binary"
 RESOURCE = "rule string, key string, value string"
 UNIT = """snapshot_id string, path string, unit_seq bigint, container_id string, depth int, ordinal bigint, raw_name binary, name string, method string, is_dir boolean, size bigint, crc bigint,
 is_class_candidate boolean, read_status string, stop_code string, def_key string, digest string, length bigint, variant_version int, major int, minor int, flags int,
 this_class binary, super_class binary, interfaces array<binary>, class_state string, class_code string, name_binding string, problems array<string>"""
-SCHEMA = struct(UNIT, members=MEMBER, pool=POOL, instructions=INSTRUCTION, handlers=HANDLER, attributes=ATTRIBUTE, xrefs=XREF, resources=RESOURCE)
+SCHEMA = struct(UNIT, members=MEMBER, pool=POOL, instructions=INSTRUCTION, handlers=HANDLER, attributes=ATTRIBUTE, xrefs=XREF, resources=RESOURCE, modern=MODERN)
 METHODS = {zipfile.ZIP_STORED: "stored", zipfile.ZIP_DEFLATED: "deflated"}
 ARCHIVES = (b"PK\x03\x04", b"PK\x05\x06")
 DEPTH = 4
@@ -137,7 +139,7 @@ def _class(unit: dict, data: bytes) -> None:
     binding = "standalone_root" if unit["container_id"] is None else "path_name_agrees" if plain.encode() == f.this else "path_name_differs"
     unit |= {"major": f.major, "minor": f.minor, "flags": f.flags, "this_class": f.this or None, "super_class": f.super, "interfaces": f.interfaces,
              "class_state": f.state, "class_code": f.code, "name_binding": binding if f.this else "unconfirmed", "members": members, "pool": _pool(f),
-             "instructions": instructions, "handlers": handlers, "attributes": attributes, "xrefs": xrefs, "problems": refs.problems}
+             "instructions": instructions, "handlers": handlers, "attributes": attributes, "xrefs": xrefs, "modern": modern.facts(f), "problems": refs.problems}
 
 
 def _variant(name: str) -> int | None:
@@ -151,7 +153,7 @@ def _blank(snapshot: str, path: str, container: str | None, depth: int, ordinal:
     name = C.display(raw)
     return dict.fromkeys(SCHEMA.names) | {"snapshot_id": snapshot, "path": path, "container_id": container, "depth": depth, "ordinal": ordinal, "raw_name": raw, "name": name,
                                           "is_dir": False, "is_class_candidate": raw.endswith(b".class"), "read_status": "read", "interfaces": [], "members": [], "pool": [],
-                                          "instructions": [], "handlers": [], "attributes": [], "xrefs": [], "resources": [], "problems": []}
+                                          "instructions": [], "handlers": [], "attributes": [], "xrefs": [], "resources": [], "modern": [], "problems": []}
 
 
 def _content(unit: dict, data: bytes) -> None:
@@ -296,6 +298,10 @@ def xrefs(u: DataFrame) -> DataFrame:
     return _exploded(u, "xrefs")
 
 
+def modern_facts(u: DataFrame) -> DataFrame:
+    return _exploded(u, "modern")
+
+
 def resource_rows(u: DataFrame) -> DataFrame:
     return _exploded(u, "resources").drop("this_class")
 
@@ -367,3 +373,14 @@ class ArtifactSource(DataSource):
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(dict(self.options))
+
+
+def root_bytes(spark: SparkSession, path: str, budget) -> bytes:
+    """The bytes of one file; its length is charged (read and output) before a byte of it is read."""
+    files = spark.read.format("binaryFile").load(path)
+    told = files.select("path", "length").limit(2).collect()  # column pruning: no content is read for this
+    if len(told) != 1:
+        raise ValueError("one file is needed")
+    for dimension in ("read_bytes", "output_bytes"):
+        budget.charge(dimension, told[0]["length"])
+    return bytes(files.select("content").first()["content"])

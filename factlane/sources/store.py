@@ -7,6 +7,8 @@ or decoder never finds old facts.  Results with and without the store are the sa
 from __future__ import annotations
 
 import hashlib
+import tempfile
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,18 @@ from . import artifact as S
 PARSER_VERSION = 1
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """Write df once to the folder that all executors share and read it back: plans stay small, lost tasks redo little."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="factlane-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/factlane/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @dataclass
 class FactsStore:
     folder: str

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from factlane.functions import assembler as A
 from factlane.functions import classfile as C
 from factlane.functions import dataflow as D
+from factlane.functions import modern
 from factlane.functions import recover as R
 from factlane.functions import registry
 from factlane.operators import export, methods, plugins, relations, resolve
@@ -127,6 +128,22 @@ def test_consumers(spark):
     assert items.count() == 1
 
 
+def test_modern_facts(spark):
+    f = C.decode(rich_class())
+    told = modern.dynamic_graph(f)
+    assert told["state"] == "complete" and not told["cycles"] and len(told["edges"]) == 1 and sorted(told["reach"].values()) == [0, 1]
+    rows = {(r.fact, r.name) for r in S.modern_facts(files(spark, rich=rich_class())).collect()}
+    assert rows == {("record_component", b"c"), ("NestMembers", b"r/Rich$In")}
+    a = A.Assembler("x/Cycle")
+    p = a.pool
+    handle = p.put(C.METHOD_HANDLE, 6, p.method("x/B", "b", "()V"))
+    one, two = p.put(C.DYNAMIC, 0, p.pair("a", "I")), p.put(C.DYNAMIC, 1, p.pair("b", "I"))
+    a.attributes.append(a.attribute("BootstrapMethods", u2(2) + u2(handle) + u2(1) + u2(two) + u2(handle) + u2(1) + u2(one)))
+    a.method("m", "()V", b"\x12" + bytes([one]) + b"\x57\xb1")
+    assert modern.dynamic_graph(C.decode(a.build()))["cycles"] == [one, two]
+    assert files(spark, c=a.build()).first()["problems"] == ["condy_cycle"]
+
+
 # -- archives -------------------------------------------------------------------------------------------------------
 def test_duplicates_nesting_damage(spark):
     one = A.sample_class("p", 0)
@@ -171,6 +188,14 @@ def test_data_source_and_store(spark, tmp_path):
     assert store.units(spark, str(tmp_path)).count() > direct and store.counters["misses"] == 2
 
 
+def test_root_bytes(spark, tmp_path):
+    (tmp_path / "x.class").write_bytes(A.sample_class("p", 0))
+    budget = Budget(Limits(output_bytes=0))
+    with pytest.raises(BudgetExceeded):
+        S.root_bytes(spark, str(tmp_path / "x.class"), budget)
+    assert S.root_bytes(spark, str(tmp_path / "x.class"), Budget()) == A.sample_class("p", 0)
+
+
 def test_streaming_ingest(spark, tmp_path):
     from factlane.streaming.ingest import ingest
 
@@ -316,6 +341,9 @@ def test_hierarchy_dispatch_and_members(spark):
     key = next(k for k, v in name.items() if v == "h/H1")
     below = {name[r.def_key] for r in resolve.dispatch_candidates(u, roots, key, b"mid", b"()V").collect()}
     assert below == {"h/H4"}
+    mine = next(k for k, v in name.items() if v == "h/Caller")
+    named = {(r.owner, r.state, name.get(r.declared_in), r.code_length) for r in resolve.callees(u, roots, mine, 0).collect()}
+    assert named == {(b"h/H6", "resolved", "h/H4", 1), (b"no/Where", "missing", None, None)}
 
 
 def test_reflection(spark):
