@@ -377,7 +377,7 @@ def test_loop_and_dominators():
     assert D.phis(code, handlers, [0]) == {(2, 1): {0: "def@1", 7: "def@7"}}
     f = D.frames(code, handlers, constants, d, True, False)
     assert f[13].local == {0: "I", 1: "I"} and f[13].stack == []
-    assert R.recover(code, handlers, constants, d, True)["reason"] == "control_flow"
+    assert R.recover(code, handlers, constants, d, True)["text"] == "var v1 = 0;\nwhile (!(v1 >= p0)) {\n    v1 += 1;\n}\nreturn v1;\n"
 
 
 def test_frames_merge_and_refuse():
@@ -411,6 +411,35 @@ def test_new_objects_and_text():
     assert R.recover(code, handlers, constants, d, True)["text"] == "a.B.g = a.B.f();\n"
 
 
+def text_of(body, descriptor="()V", **more):
+    code, handlers, constants, d = code_of(body, descriptor=descriptor, **more)
+    got = R.recover(code, handlers, constants, d, True)
+    return got["text"] if got["representation"] == "java" else got["reason"]
+
+
+def test_regions():
+    # if (p0 < 0) p0 = -p0; return p0
+    assert text_of(b"\x1a\x9c\x00\x06\x1a\x74\x3b\x1a\xac", "(I)I") == "if (!(p0 >= 0)) {\n    p0 = (-p0);\n}\nreturn p0;\n"
+    # if (flag) p1 = 1 else p1 = 2
+    assert text_of(b"\x1a\x99\x00\x08\x04\x3c\xa7\x00\x05\x05\x3c\x1b\xac", "(ZI)I") == "if (p0) {\n    p1 = 1;\n} else {\n    p1 = 2;\n}\nreturn p1;\n"
+    # two early returns, as booleans
+    assert text_of(b"\x1a\x99\x00\x05\x04\xac\x03\xac", "(Z)Z") == "if (p0) {\n    return true;\n}\nreturn false;\n"
+    # do { p0--; } while (p0 > 0)
+    assert text_of(b"\x84\x00\xff\x1a\x9d\xff\xfc\xb1", "(I)V") == "do {\n    p0 += -1;\n} while ((p0 > 0));\n"
+    # a nested loop and a condition in it
+    body = b"\x1a\x9e\x00\x13" + b"\x1b\x9e\x00\x09" + b"\x84\x01\xff" + b"\xa7\xff\xf9" + b"\x84\x00\xff" + b"\xa7\xff\xef" + b"\xb1"
+    assert text_of(body, "(II)V") == "while (!(p0 <= 0)) {\n    while (!(p1 <= 0)) {\n        p1 += -1;\n    }\n    p0 += -1;\n}\n"
+    # NaN: if (a < b) compiles to fcmpg, ifge; the text must not run the branch for NaN
+    assert text_of(b"\x22\x23\x96\x9c\x00\x05\x04\xac\x03\xac", "(FF)Z") == "if ((p0 < p1)) {\n    return true;\n}\nreturn false;\n"
+    assert text_of(b"\x22\x23\x95\x9c\x00\x05\x04\xac\x03\xac", "(FF)Z") == "if (!(p0 >= p1)) {\n    return true;\n}\nreturn false;\n"
+    assert text_of(b"\xaa\0\0\0" + struct.pack(">iiii", 20, 0, 0, 20) + b"\xb1" * 3) in ("switch", "stack_underflow")
+    # the old value of a local is still on the stack when it is written
+    assert text_of(b"\x1a\x05\x3b\xac", "(I)I") == "evaluation_order"
+    # a value that crosses blocks (a conditional expression), and a local that outlives its scope
+    assert text_of(b"\x1a\x99\x00\x07\x04\xa7\x00\x04\x05\xac", "(Z)I") == "value_across_blocks"
+    assert text_of(b"\x1a\x99\x00\x05\x04\x3c\x1b\xac", "(Z)I") == "local_scope"
+
+
 def test_analysis_and_export(spark, units, tmp_path):
     rows = methods.analyze(units).collect()
     bodies = S.members(units).where("has_code").count()
