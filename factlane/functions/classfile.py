@@ -30,6 +30,9 @@ class Damaged(Exception):
         self.code, self.at = code, at
 
 
+_STRUCTS: dict[str, struct.Struct] = {}
+
+
 class Cursor:
     def __init__(self, data: bytes, at: int = 0, end: int | None = None):
         self.data, self.at, self.end = data, at, len(data) if end is None else end
@@ -41,14 +44,27 @@ class Cursor:
         return self.data[self.at - n : self.at]
 
     def get(self, layout: str):
-        values = struct.unpack(layout, self.take(struct.calcsize(layout)))
+        one = _STRUCTS.get(layout) or _STRUCTS.setdefault(layout, struct.Struct(layout))
+        at = self.at
+        if at + one.size > self.end:
+            raise Damaged("truncated", at)
+        self.at = at + one.size
+        values = one.unpack_from(self.data, at)
         return values[0] if len(values) == 1 else values
 
     def u1(self) -> int:
-        return self.get(">B")
+        at = self.at
+        if at >= self.end:
+            raise Damaged("truncated", at)
+        self.at = at + 1
+        return self.data[at]
 
     def u2(self) -> int:
-        return self.get(">H")
+        at = self.at
+        if at + 2 > self.end:
+            raise Damaged("truncated", at)
+        self.at = at + 2
+        return self.data[at] << 8 | self.data[at + 1]
 
     def u4(self) -> int:
         return self.get(">I")

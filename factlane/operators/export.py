@@ -7,31 +7,43 @@ without one holds an honest prefix.  A folder that exists is never overwritten.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import methods as M
 
-EVENT = ["path", "unit_seq", "step", "member_index", "event", "body"]
+KEEP = ("path", "unit_seq", "def_key", "digest", "name", "is_class_candidate", "read_status", "stop_code", "class_state", "class_code", "problems")
 
 
-def events(u: DataFrame, recovered: DataFrame | None = None) -> DataFrame:
-    """Events with their total order (path, unit_seq, step, member_index); body is JSON."""
-    got = M.recover(u) if recovered is None else recovered
-    classes = u.where("is_class_candidate")
-    bodies = F.size(F.filter("members", lambda m: m["has_code"]))
+def events(u: DataFrame) -> DataFrame:
+    """Events with their total order (path, unit_seq, step, member_index); body is JSON.  The units are read once."""
+    return _events(M.with_texts(u, *KEEP))
+
+
+def events_of_files(files: DataFrame) -> DataFrame:
+    """As ``events``, from (path, content) in one pass."""
+    return _events(M.texts_of_files(files, *KEEP))
+
+
+def _events(rows: DataFrame) -> DataFrame:
+
+    def event(step: int, kind: str, *fields) -> Column:
+        return F.struct(F.lit(step).alias("step"), F.lit(-1).alias("member_index"), F.lit(kind).alias("event"), F.to_json(F.struct(*fields)).alias("body"))
+
+    def method(t: Column) -> Column:
+        body = F.struct(F.col("def_key"), F.decode(t["name"], "UTF-8").alias("name"), F.decode(t["descriptor"], "UTF-8").alias("descriptor"), t["representation"].alias("representation"),
+                        t["quality"].alias("quality"), t["reason"].alias("reason"), t["text"].alias("text"), t["segments"].alias("segments"), F.length(t["text"]).alias("weight"))
+        return F.struct(F.lit(2).alias("step"), t["member_index"].alias("member_index"), F.lit("method").alias("event"), F.to_json(body).alias("body"))
+
     state = F.when(F.col("read_status") != "read", "refused").when(F.col("class_state") == "complete", "completed").otherwise("stopped")
-    prepared = classes.select("path", "unit_seq", F.lit(1).alias("step"), F.lit(-1).alias("member_index"), F.lit("class_prepared").alias("event"),
-                              F.to_json(F.struct("def_key", "digest", "name", F.size("members").alias("declared_members"), bodies.alias("declared_bodies"))).alias("body"))
-    ended = classes.select("path", "unit_seq", F.lit(3).alias("step"), F.lit(-1).alias("member_index"), F.lit("class_end").alias("event"),
-                           F.to_json(F.struct("def_key", state.alias("completion"), F.coalesce("stop_code", "class_code").alias("code"))).alias("body"))
-    method = got.select("path", "unit_seq", F.lit(2).alias("step"), "member_index", F.lit("method").alias("event"),
-                        F.to_json(F.struct("def_key", F.decode("name", "UTF-8").alias("name"), F.decode("descriptor", "UTF-8").alias("descriptor"), "representation", "quality",
-                                           "reason", "text", "segments", F.length("text").alias("weight"))).alias("body"))
-    told = u.where("read_status <> 'read' or size(problems) > 0").select(
-        "path", "unit_seq", F.lit(4).alias("step"), F.lit(-1).alias("member_index"), F.lit("diagnostic").alias("event"),
-        F.to_json(F.struct("name", "read_status", "stop_code", "problems")).alias("body"))
-    return prepared.unionByName(method).unionByName(ended).unionByName(told)
+    prepared = event(1, "class_prepared", "def_key", "digest", "name", "declared_members", "declared_bodies")
+    ended = event(3, "class_end", "def_key", state.alias("completion"), F.coalesce("stop_code", "class_code").alias("code"))
+    told = event(4, "diagnostic", "name", "read_status", "stop_code", "problems")
+    of_class = F.concat(F.array(prepared), F.transform("texts", method), F.array(ended))
+    empty = F.slice(of_class, 1, 0)
+    every = F.concat(F.when(F.col("is_class_candidate"), of_class).otherwise(empty),
+                     F.when((F.col("read_status") != "read") | (F.size("problems") > 0), F.array(told)).otherwise(empty))
+    return rows.select("path", "unit_seq", F.explode(every).alias("e")).select("path", "unit_seq", "e.*")
 
 
 def summary(rows: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import classfile as C
@@ -18,6 +19,7 @@ from ..functions import dataflow as D
 from ..functions import recover as R
 from ..functions.schema import struct
 from ..plans.request import InvalidInput
+from ..sources import artifact as S
 
 #: Stages in order, each with the stages that it needs.
 STAGES = {"raw_facts": (), "raw_cfg": ("raw_facts",), "canonical_cfg": ("raw_cfg",), "frames": ("canonical_cfg",), "ssa": ("frames",)}
@@ -116,18 +118,62 @@ def analyze(u: DataFrame, stages: tuple[str, ...] = tuple(STAGES)) -> DataFrame:
     return rows.mapInArrow(_each(lambda unit, m, code, handlers, constants: _analysed(m, code, handlers, constants, wanted), ANALYSIS), ANALYSIS)
 
 
+def _text(unit: dict, m: dict, code: list[dict], handlers: list[dict], constants: dict[int, dict]) -> dict:
+    got = R.recover(code, handlers, constants, m["descriptor"], bool(m["flags"] & STATIC), unit["this_class"])
+    kind = got["representation"]
+    return {"representation": kind, "quality": "recovered" if kind == "java" else "fallback", "syntax": "not_checked", "compile": "not_attempted",
+            "semantic_validation": "not_attempted", "verification": "not_performed", "reason": got["reason"], "text": got["text"], "artifact": None, "segments": got["segments"]}
+
+
+_BODY = ["members", "pool", "instructions", "handlers"]
+
+
+def _texts_schema(keep: tuple[str, ...]) -> T.StructType:
+    inner = T.StructType([T.StructField("member_index", T.IntegerType()), T.StructField("name", T.BinaryType()), T.StructField("descriptor", T.BinaryType()),
+                          *[f for f in RECOVERED.fields if f.name in ("representation", "quality", "reason", "text", "segments")]])
+    return T.StructType([*[S.SCHEMA[c] for c in keep], T.StructField("declared_members", T.IntegerType()), T.StructField("declared_bodies", T.IntegerType()),
+                         T.StructField("texts", T.ArrayType(inner))])
+
+
+def _with_texts(units: Iterator[dict], keep: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    arrow, rows = to_arrow_schema(_texts_schema(keep)), []
+    for unit in units:
+        texts = [{"member_index": m["index"], "name": m["name"], "descriptor": m["descriptor"]} | _text(unit, m, code, handlers, constants)
+                 for m, code, handlers, constants in _methods(unit)]
+        rows.append({k: unit[k] for k in keep} | {"declared_members": len(unit["members"]), "declared_bodies": len(texts), "texts": texts})
+        if len(rows) >= 256:
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            rows = []
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+
+def with_texts(u: DataFrame, *keep: str) -> DataFrame:
+    """The units' columns in ``keep``, the numbers of members and bodies, and the bodies' texts as a nested column: one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _with_texts((unit for batch in batches for unit in batch.to_pylist()), keep)
+
+    return u.select(*dict.fromkeys([*keep, "this_class", *_BODY])).mapInArrow(run, _texts_schema(keep))
+
+
+def texts_of_files(files: DataFrame, *keep: str, depth: int = S.DEPTH) -> DataFrame:
+    """As ``with_texts``, straight from (path, content): facts never leave the task that decodes them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, data in zip(batch.column("path"), batch.column("content"), strict=True):
+                yield from _with_texts(S.walk(p.as_py(), data.as_py(), depth, tuple(_BODY)), keep)
+
+    return files.select("path", "content").mapInArrow(run, _texts_schema(keep))
+
+
 def recover(u: DataFrame) -> DataFrame:
     """One row a method body: its text, the planes that say what it is worth, and a source map.
 
     artifact identifies the inputs that the text depends on.
     """
-    def one(unit: dict, m: dict, code: list[dict], handlers: list[dict], constants: dict[int, dict]) -> dict:
-        got = R.recover(code, handlers, constants, m["descriptor"], bool(m["flags"] & STATIC), unit["this_class"])
-        kind = got["representation"]
-        return {"representation": kind, "quality": "recovered" if kind == "java" else "fallback", "syntax": "not_checked", "compile": "not_attempted",
-                "semantic_validation": "not_attempted", "verification": "not_performed", "reason": got["reason"], "text": got["text"], "artifact": None, "segments": got["segments"]}
-
-    rows = u.where("def_key is not null").select(*_NEEDED).mapInArrow(_each(one, RECOVERED), RECOVERED)
+    rows = u.where("def_key is not null").select(*_NEEDED).mapInArrow(_each(_text, RECOVERED), RECOVERED)
     return rows.withColumn("artifact", F.sha2(F.concat_ws("|", F.lit("recover-1"), "def_key", F.hex("name"), F.hex("descriptor")), 256))
 
 

@@ -37,8 +37,8 @@ def sample_files(spark: SparkSession, archives: int = ARCHIVES) -> DataFrame:
     return spark.range(0, archives, 1, min(archives, 64)).mapInArrow(make, "path string, content binary")
 
 
-def sample_units(spark: SparkSession, archives: int = ARCHIVES) -> DataFrame:
-    return S.decoded(sample_files(spark, archives))
+def sample_units(spark: SparkSession, archives: int = ARCHIVES, wanted: tuple[str, ...] = S.FACTS) -> DataFrame:
+    return S.decoded(sample_files(spark, archives), wanted=wanted)
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -46,7 +46,8 @@ def _plain(df: DataFrame) -> DataFrame:
 
 
 def _items(request: QueryRequest) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: _plain(relations.query(sample_units(spark), request)[0])
+    wanted = ("pool",) if request.relation == "constant_pool_contains" else ("xrefs",)
+    return lambda spark, sf_dir: _plain(relations.query(sample_units(spark, wanted=wanted), request)[0])
 
 
 def _roots(u: DataFrame) -> DataFrame:
@@ -60,17 +61,17 @@ def _dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "artifact_entries": lambda spark, sf_dir: _plain(S.entries(sample_units(spark))),
-    "artifact_classes": lambda spark, sf_dir: _plain(S.classes(sample_units(spark)).drop("interfaces")),
-    "artifact_members": lambda spark, sf_dir: _plain(S.members(sample_units(spark))),
-    "artifact_instructions": lambda spark, sf_dir: _plain(S.instructions(sample_units(spark)).drop("targets", "keys")),
+    "artifact_entries": lambda spark, sf_dir: _plain(S.entries(sample_units(spark, wanted=()))),
+    "artifact_classes": lambda spark, sf_dir: _plain(S.classes(sample_units(spark, wanted=())).drop("interfaces")),
+    "artifact_members": lambda spark, sf_dir: _plain(S.members(sample_units(spark, wanted=("members",)))),
+    "artifact_instructions": lambda spark, sf_dir: _plain(S.instructions(sample_units(spark, wanted=("instructions",))).drop("targets", "keys")),
     "artifact_xref": _items(QueryRequest("owner_candidates", Symbol("class", "p7/C3"))),
     "artifact_mentions": _items(QueryRequest("mentions_symbol", Symbol("method", "p7/C3", "<init>", "()V"))),
     "artifact_pool": _items(QueryRequest("constant_pool_contains", Symbol("method", "never/Used", "atAll", "()V"))),
     "artifact_literal": _items(QueryRequest("literal_value", Literal("string", utf=b"text 3"))),
     "artifact_page": _items(QueryRequest("member_shape", Symbol("method", None, "call", "()V"), max_items=50)),
-    "artifact_resources": lambda spark, sf_dir: S.resource_rows(sample_units(spark)),
-    "artifact_multi_release": lambda spark, sf_dir: S.runtime_matrix(sample_units(spark), [8, 11]),
+    "artifact_resources": lambda spark, sf_dir: S.resource_rows(sample_units(spark, wanted=())),
+    "artifact_multi_release": lambda spark, sf_dir: S.runtime_matrix(sample_units(spark, wanted=()), [8, 11]),
     "artifact_coverage": lambda spark, sf_dir: S.unit_status(sample_units(spark)),
     "artifact_usage": lambda spark, sf_dir: relations.usage(sample_units(spark)),
     "artifact_supertypes": lambda spark, sf_dir: resolve.supertypes(u := sample_units(spark, 4), _roots(u)),
@@ -79,6 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "artifact_reflection": lambda spark, sf_dir: _plain(resolve.reflection_patterns(sample_units(spark))),
     "artifact_analysis": lambda spark, sf_dir: _plain(methods.analyze(sample_units(spark)).drop("blocks", "edges", "back_edges", "frames", "phis")),
     "artifact_recover": lambda spark, sf_dir: _plain(methods.recover(sample_units(spark)).drop("segments")),
-    "artifact_export": lambda spark, sf_dir: export.events(sample_units(spark)),
+    "artifact_export": lambda spark, sf_dir: export.events_of_files(sample_files(spark)),
     "artifact_plugins": lambda spark, sf_dir: plugins.run(sample_units(spark), list(plugins.PLUGINS))[0],
 }

@@ -111,11 +111,15 @@ def _pool(f: C.ClassFile) -> list[dict]:
     return out
 
 
-def _class(unit: dict, data: bytes) -> None:
+#: Nested facts of a class; what isn't asked for isn't built.
+FACTS = ("members", "pool", "instructions", "handlers", "attributes", "xrefs", "modern")
+
+
+def _class(unit: dict, data: bytes, wanted: tuple[str, ...]) -> None:
     f = C.decode(data)
     members, instructions, handlers, attributes = [], [], [], []
     attributes += [{"owner_kind": "class", "owner_index": -1, "name": a.name, "start": a.start, "length": a.length} for a in f.attributes]
-    for k, m in enumerate(f.members):
+    for k, m in enumerate(f.members if {"members", "instructions", "handlers", "attributes"} & {*wanted} else ()):
         body = C.code(f, m) if m.kind == "method" else None
         agrees = None
         for a in f.find(m.attributes, b"Signature"):
@@ -132,14 +136,15 @@ def _class(unit: dict, data: bytes) -> None:
                               "targets": list(i.targets), "keys": list(i.keys)} for i in body.instructions]
             handlers += [{"member_index": k, "start": h.start, "end": h.end, "target": h.target, "type": h.type} for h in body.handlers]
     refs = References(f)
-    xrefs = list(refs.rows())
+    xrefs = list(refs.rows()) if "xrefs" in wanted else []
     plain = unit["name"].removesuffix(".class")
     if plain.startswith(VERSIONS):
         plain = plain[len(VERSIONS):].partition("/")[2]
     binding = "standalone_root" if unit["container_id"] is None else "path_name_agrees" if plain.encode() == f.this else "path_name_differs"
     unit |= {"major": f.major, "minor": f.minor, "flags": f.flags, "this_class": f.this or None, "super_class": f.super, "interfaces": f.interfaces,
-             "class_state": f.state, "class_code": f.code, "name_binding": binding if f.this else "unconfirmed", "members": members, "pool": _pool(f),
-             "instructions": instructions, "handlers": handlers, "attributes": attributes, "xrefs": xrefs, "modern": modern.facts(f), "problems": refs.problems}
+             "class_state": f.state, "class_code": f.code, "name_binding": binding if f.this else "unconfirmed", "members": members, "pool": _pool(f) if "pool" in wanted else [],
+             "instructions": instructions if "instructions" in wanted else [], "handlers": handlers, "attributes": attributes if "attributes" in wanted else [],
+             "xrefs": xrefs, "modern": modern.facts(f) if "modern" in wanted else [], "problems": refs.problems}
 
 
 def _variant(name: str) -> int | None:
@@ -156,36 +161,36 @@ def _blank(snapshot: str, path: str, container: str | None, depth: int, ordinal:
                                           "instructions": [], "handlers": [], "attributes": [], "xrefs": [], "resources": [], "modern": [], "problems": []}
 
 
-def _content(unit: dict, data: bytes) -> None:
+def _content(unit: dict, data: bytes, wanted: tuple[str, ...]) -> None:
     digest = hashlib.sha256(data).hexdigest()
     unit |= {"digest": digest, "length": len(data)}
     if unit["is_class_candidate"]:
         key = f"{unit['snapshot_id']}|{unit['container_id']}|{unit['ordinal']}|{digest}|{unit['variant_version']}"
         unit["def_key"] = hashlib.sha256(key.encode()).hexdigest()
-        _class(unit, data)
+        _class(unit, data, wanted)
     else:
         unit["resources"] = resources(unit["name"], data)
 
 
-def walk(path: str, data: bytes, depth: int = DEPTH) -> Iterator[dict]:
+def walk(path: str, data: bytes, depth: int = DEPTH, wanted: tuple[str, ...] = FACTS) -> Iterator[dict]:
     """The units of one file, numbered in physical order: archives entry by entry, descending into archives in them."""
-    for seq, unit in enumerate(_walk(path, data, depth)):
+    for seq, unit in enumerate(_walk(path, data, depth, wanted)):
         yield unit | {"unit_seq": seq}
 
 
-def _walk(path: str, data: bytes, depth: int) -> Iterator[dict]:
+def _walk(path: str, data: bytes, depth: int, wanted: tuple[str, ...]) -> Iterator[dict]:
     snapshot = hashlib.sha256(data).hexdigest()
     if data[:4] in ARCHIVES:
-        yield from _archive(snapshot, path, data, snapshot, 0, depth)
+        yield from _archive(snapshot, path, data, snapshot, 0, depth, wanted)
         return
     unit = _blank(snapshot, path, None, 0, 0, b"") | {"is_class_candidate": data[:4] == b"\xca\xfe\xba\xbe", "method": "root", "size": len(data)}
-    _content(unit, data)
+    _content(unit, data, wanted)
     if not unit["is_class_candidate"]:
         unit |= {"read_status": "unsupported", "stop_code": "unknown_root"}
     yield unit
 
 
-def _archive(snapshot: str, path: str, data: bytes, container: str, depth: int, most: int) -> Iterator[dict]:
+def _archive(snapshot: str, path: str, data: bytes, container: str, depth: int, most: int, wanted: tuple[str, ...]) -> Iterator[dict]:
     try:
         z = zipfile.ZipFile(io.BytesIO(data))
         infos = z.infolist()
@@ -205,7 +210,7 @@ def _archive(snapshot: str, path: str, data: bytes, container: str, depth: int,
         elif not unit["is_dir"]:
             try:
                 body = z.read(info)
-                _content(unit, body)
+                _content(unit, body, wanted)
                 inner = body if body[:4] in ARCHIVES else b""
             except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, OSError) as e:
                 unit |= {"read_status": "damaged", "stop_code": "crc_mismatch" if "CRC" in str(e) else "entry_unreadable"}
@@ -215,7 +220,7 @@ def _archive(snapshot: str, path: str, data: bytes, container: str, depth: int,
         yield unit
         if inner:
             below = hashlib.sha256(f"{container}|{ordinal}|{unit['digest']}".encode()).hexdigest()
-            yield from _archive(snapshot, path, inner, below, depth + 1, most)
+            yield from _archive(snapshot, path, inner, below, depth + 1, most, wanted)
 
 
 def _batches(rows: Iterator[dict], size: int = 64) -> Iterator[pa.RecordBatch]:
@@ -229,13 +234,13 @@ def _batches(rows: Iterator[dict], size: int = 64) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(held, schema=schema)
 
 
-def decoded(files: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """The units of files given as (path, content)."""
+def decoded(files: DataFrame, depth: int = DEPTH, wanted: tuple[str, ...] = FACTS) -> DataFrame:
+    """The units of files given as (path, content), with the nested facts that are wanted."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p, data in zip(batch.column("path"), batch.column("content"), strict=True):
-                yield from _batches(walk(p.as_py(), data.as_py(), depth))
+                yield from _batches(walk(p.as_py(), data.as_py(), depth, wanted))
 
     return files.select("path", "content").mapInArrow(decode, SCHEMA)
 

@@ -454,6 +454,10 @@ def test_analysis_and_export(spark, units, tmp_path):
     assert methods.source_map(text, bci=3).where("covered = 'return (p0 + p1);'").count() > 0
     source = methods.class_source(units, text).where("source like '%class p1.C3 {%'").first()["source"]
     assert "return (p0 + p1);" in source and source.index("<init>") < source.index("add(II)I")
+    files_ = artifacts.sample_files(spark, 3)
+    assert sorted(map(str, export.events(units).collect())) == sorted(map(str, export.events_of_files(files_).collect()))
+    only = S.decoded(files_, wanted=("xrefs",))
+    assert sorted(map(str, S.xrefs(only).collect())) == sorted(map(str, S.xrefs(units).collect())) and S.pool(only).count() == 0
     folder = f"file://{tmp_path}/out"
     told = export.export(units, folder).first()
     assert (told["bodies_declared"], told["bodies_delivered"], told["classes_discovered"]) == (bodies, bodies, told["classes_delivered"])
