@@ -36,6 +36,7 @@ from . import words as W
 from .storage import partitions, stored, stored_buckets
 
 SIZE = 13
+_ADDED = ("n_words", "n_removed", "kept", "longest_repeat")
 ENTRIES = "bucket int, batch string, level int, n int, low bigint, base bigint, keys binary, checks binary, ids binary, local binary"
 REPLIES = "batch string, level int, bucket int, n int, again binary, later binary"
 _ENTRIES = pa.schema([("bucket", pa.int32()), ("batch", pa.string()), ("level", pa.int32()), ("n", pa.int32()), ("low", pa.int64()),
@@ -196,8 +197,8 @@ class Batch:
         return np.concatenate([unbits(r[which], r["n"]) for r in sorted(replies, key=lambda r: r["bucket"])])
 
 
-def _pack(batches: Iterator[pa.RecordBatch], rest: pa.Schema, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for batch in W.merged_blocks(batches):
+def _pack(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in W.merged_blocks(batches, size):
         ids = W.long_ids(batch.column("doc_id"))
         batch = batch.take(pa.array(np.argsort(ids, kind="stable")))
         whole = pa.array([0, batch.num_rows], pa.int32())
@@ -223,19 +224,21 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray,
             yield batch.column("batch")[i].as_py(), batch.column("ids")[i].values.to_numpy(zero_copy_only=False), batch.column("texts")[i].values, rest, replies
 
 
-def dedup_substrings(docs: DataFrame, size: int = SIZE, longest: int | None = None) -> DataFrame:
+def dedup_substrings(docs: DataFrame, size: int = SIZE, longest: int | None = None, batch_bytes: int = W.PIECE) -> DataFrame:
     """docs' columns, then n_words, n_removed, kept (the kept words, joined by one space) and longest_repeat
-    (words of the longest window length of the levels at which a window of the document repeats; 0: none)."""
+    (words of the longest window length of the levels at which a window of the document repeats; 0: none), which
+    replace columns of these names.  batch_bytes: text in a batch; on large executors, more makes fewer, fuller rows."""
     spark = docs.sparkSession
     n = partitions(spark)
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    names = [c for c in docs.columns if c not in ("doc_id", "text", *_ADDED)]
+    others = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                       F.struct(F.lit(0).alias("_"), *others).alias("rest"))
+                       F.struct(F.lit(0).alias("none"), *others).alias("rest"))
     rest = rows.schema["rest"].dataType
     packed = T.StructType([T.StructField("batch", T.StringType()), T.StructField("ids", T.ArrayType(T.LongType())),
                            T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("rest", T.ArrayType(rest))])
-    table = stored_buckets(rows.mapInArrow(lambda b: _pack(b, None, None), packed), "substrings", "batch", n)
-    n_buckets = max(n, table.count() // 2)
+    table = stored_buckets(rows.mapInArrow(lambda b: _pack(b, batch_bytes), packed), "substrings", "batch", n)
+    n_buckets = W.bucket_count(n, table.count(), batch_bytes)
     replies: DataFrame | None = None
     for k, length in enumerate(lengths(size)):
         if longest is not None and length > max(longest, size):
@@ -249,8 +252,8 @@ def dedup_substrings(docs: DataFrame, size: int = SIZE, longest: int | None = No
                         T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
                         T.StructField("kept", T.StringType()), T.StructField("longest_repeat", T.LongType())])
     done = _with(table, replies).mapInArrow(_finisher(size), out)
-    names = [F.col("rest").getField(c).alias(c) if c not in ("doc_id", "text") else F.col(c) for c in docs.columns]
-    return done.select(*names, "n_words", "n_removed", "kept", "longest_repeat")
+    held = [F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(f"c{names.index(c)}").alias(c) for c in docs.columns if c not in _ADDED]
+    return done.select(*held, *_ADDED)
 
 
 def _with(table: DataFrame, replies: DataFrame | None) -> DataFrame:

@@ -179,6 +179,16 @@ def cuts(keys: np.ndarray, n_buckets: int, width: int = 64) -> np.ndarray:
     return out
 
 
+#: Entries of a batch in one bucket below which more buckets would cost more in rows than they save in memory.
+ROW_ENTRIES = 256
+
+
+def bucket_count(partitions: int, batches: int, batch_bytes: int) -> int:
+    """Buckets for entries of hashed words: about two batches' worth in each, so that a bucket fits a task, but never so
+    many that a batch's rows hold fewer than ROW_ENTRIES of them; larger corpora want larger batches (a parameter)."""
+    return max(partitions, min(batches // 2, batch_bytes // (6 * ROW_ENTRIES)))
+
+
 def blocks(batches: Iterator[pa.RecordBatch], limit: int = PIECE, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Rows in order, in slices of about ``limit`` bytes of text (one row at least)."""
     for batch in batches:

@@ -40,6 +40,9 @@ def test_fixture_against_brute_force(spark):
     d = spark.createDataFrame([(i, "c", t, i) for i, t in docs], "doc_id long, kept string, text string, rest long").repartition(3)
     for size in (13, 3):
         assert rows(S.dedup_substrings(d.select("doc_id", "text"), size, longest=size)) == brute(docs, size)
+    clash = d.withColumns({"none": d.doc_id, "_": d.doc_id, "a.b": d.doc_id, "n_words": d.text}).select("none", "_", "`a.b`", "text", "kept", "n_words", "doc_id")
+    assert S.dedup_substrings(clash, 13, longest=13).columns == ["none", "_", "a.b", "text", "doc_id", "n_words", "n_removed", "kept", "longest_repeat"]
+    assert rows(S.dedup_substrings(clash, 13, longest=13, batch_bytes=700)) == brute(docs)
     full = S.dedup_substrings(d.drop("kept"), 13)
     assert full.columns == ["doc_id", "text", "rest", "n_words", "n_removed", "kept", "longest_repeat"]
     assert rows(full) == brute(docs)
