@@ -14,11 +14,25 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="factlane-")
         spark.conf.set("spark.checkpoint.dir", base)
+    if "://" not in base:  # a bare path belongs to the session's default file system
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().replace("file:/", "file:///", 1)
     return base.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def fresh(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/factlane/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/factlane/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what this process has written to the shared folder; results that still read it must have been consumed."""
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
