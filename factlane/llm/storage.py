@@ -8,12 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; where it is unset (tests, one machine) a local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="factlane-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    if not base:  # it cannot be set in a running session: remembered here
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="factlane-")
+        base = _OWN[app]
     if "://" not in base:  # a bare path belongs to the session's default file system
         path = spark._jvm.org.apache.hadoop.fs.Path(base)
         base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().replace("file:/", "file:///", 1)
