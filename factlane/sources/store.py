@@ -23,9 +23,8 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the folder that all executors share and read it back: plans stay small, lost tasks redo little."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+    if not base:  # one machine, as in tests
         base = "file://" + tempfile.mkdtemp(prefix="factlane-")
-        spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/factlane/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
