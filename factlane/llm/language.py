@@ -70,7 +70,7 @@ def features(found: W.Words) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for batch in W.blocks(batches):
+    for batch in W.blocks(batches, W.PIECE // 2):
         found = W.find(batch.column("text"), W.ALNUM, lower=True)
         hashed, script = features(found), scripts(found)
         inside = ~W.ALNUM[found.data]
@@ -205,7 +205,7 @@ def judge(model: Model, texts: pa.Array, penalty: float = PENALTY) -> tuple[list
         return names, certain, spans
     column = pa.RecordBatch.from_arrays([texts], names=["text"])
     parts, firsts, letters, at = [], [np.zeros(1, np.int64)], [], 0
-    for block in W.blocks(iter([column])):
+    for block in W.blocks(iter([column]), W.PIECE // 2):
         found = W.find(block.column(0), W.ALNUM, lower=True)
         parts.append(word_scores(model, found))
         firsts.append(found.first[1:] + at)
@@ -249,7 +249,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, with_text:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded, see LANGUAGES_MOST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.blocks(batches, 2 * W.PIECE // max(1, len(shared.value.langs) // 8)):
+        for batch in W.blocks(batches, W.PIECE // max(1, len(shared.value.langs) // 8)):
             names, score, spans = judge(shared.value, batch.column("text"), penalty)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(f.name) for f in held), pa.array(names, pa.string()), pa.array(score), pa.array(spans, _SPANS)],

@@ -119,7 +119,7 @@ def signatures(grams: np.ndarray, at: np.ndarray, bands: int, rows: int) -> np.n
 
 def _sign(n: int, bands: int, rows: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.merged_blocks(batches):
+        for batch in W.merged_blocks(batches, W.PIECE // 2):
             grams, at = gram_sets(batch.column("text"), n)
             sizes = np.diff(at)
             hashed = signatures(grams, at, bands, rows)
@@ -134,7 +134,7 @@ def _sign(n: int, bands: int, rows: int):
 
 def _sets(n: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.merged_blocks(batches):
+        for batch in W.merged_blocks(batches, W.PIECE // 2):
             grams, at = gram_sets(batch.column("text"), n)
             held = [(k, grams[a:b].tobytes()) for k, a, b in zip(nodes(grams, at), at[:-1], at[1:], strict=True) if k]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.binary()), pa.array([g for _, g in held], pa.binary())],
