@@ -156,13 +156,14 @@ def label(scores: np.ndarray, first: np.ndarray, penalty: float = PENALTY) -> np
     doc = np.repeat(np.arange(n_docs), counts)
     filled = counts > 0
     for k in range(n_langs):
-        # the largest gain of language k over the best one on any run of words of a text
+        # the largest gain of language k over the best one on any run of words of a text; m runs of other languages cost
+        # m - 1 changes at least, so a path gains nothing where no run gains over half a penalty
         gain = np.cumsum(scores[:, k] - own)
         before = np.append(0, gain[:-1]) if len(gain) else gain
         step = (gain.max(initial=0) - gain.min(initial=0)) + 1.0
         low = np.minimum.accumulate(before - doc * step) + doc * step
         most = np.maximum.reduceat(gain - low, first[:-1][filled]) if filled.any() else np.zeros(0)
-        open_docs[np.flatnonzero(filled)[most > penalty]] = True
+        open_docs[np.flatnonzero(filled)[most > penalty / 2]] = True
     todo = np.flatnonzero(open_docs)
     if not len(todo):
         return path

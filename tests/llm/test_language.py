@@ -51,3 +51,8 @@ def test_query_on_held_out(spark):
     test = [r for r in got if r.held_out]
     right = sum(r.lang_pred == truth[r.doc_id][0] for r in test)
     assert test and right >= 0.97 * len(test), [(r.doc_id, r.lang_pred, truth[r.doc_id]) for r in test if r.lang_pred != truth[r.doc_id][0]]
+
+
+def test_a_language_that_neither_half_is_in():
+    b, k = np.zeros(6), np.array([3.0, 3, 3, -10, -10, -10])
+    assert L.label(np.column_stack([b, k, k[::-1]]), np.array([0, 6]), 12.0).tolist() == [1, 1, 1, 2, 2, 2]
