@@ -84,13 +84,21 @@ def hierarchy(u: DataFrame, roots: DataFrame) -> DataFrame:
     return settled(edges.select(F.col("def_key").alias("child"), "parent", "kind", "name"), "hierarchy")
 
 
-def supertypes(u: DataFrame, roots: DataFrame, depth: int = 8, edges: DataFrame | None = None) -> DataFrame:
-    """(root, node, depth): each definition's supertypes within ``depth`` edges, the definition itself at 0."""
+def supertypes(u: DataFrame, roots: DataFrame, depth: int | None = 8, edges: DataFrame | None = None) -> DataFrame:
+    """(root, node, depth): each definition's supertypes within ``depth`` edges, all of them where it is None; the definition itself at 0."""
     known = (hierarchy(u, roots) if edges is None else edges).where("parent is not null").select("child", "parent").distinct()
-    return settled(A.closure(known, S.classes(u).select(F.col("def_key").alias("root")).distinct(), depth), "supertypes")
-
-
-def resolve_members(u: DataFrame, roots: DataFrame, wanted: DataFrame, depth: int = 8) -> DataFrame:
+    roots_ = S.classes(u).select(F.col("def_key").alias("root")).distinct()
+    if depth is not None:
+        return settled(A.closure(known, roots_, depth), "supertypes")
+    found = level = settled(roots_.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")), "supertypes")
+    while not level.isEmpty():  # what a level reaches again is dropped, so cycles end too
+        step = level.join(known.withColumnRenamed("child", "node"), "node").select("root", F.col("parent").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
+        level = settled(step.join(found.select("root", "node"), ["root", "node"], "left_anti"), "supertypes")
+        found = found.unionByName(level)
+    return found
+
+
+def resolve_members(u: DataFrame, roots: DataFrame, wanted: DataFrame) -> DataFrame:
     """Field and method lookup: wanted (kind, owner, name, descriptor) to the nearest declaration on the owner's supertypes.
 
     Classes come before interfaces at every depth; two interfaces that both have the method are ambiguous unless one is
@@ -100,7 +108,7 @@ def resolve_members(u: DataFrame, roots: DataFrame, wanted: DataFrame, depth: in
     asked = wanted.select(*keys).distinct()
     owners = definitions(u, roots, asked.select(F.col("owner").alias("name"))).select(F.col("name").alias("owner"), F.col("state").alias("owner_state"), F.col("def_key").alias("root"))
     edges = hierarchy(u, roots)
-    up = supertypes(u, roots, depth, edges)
+    up = supertypes(u, roots, None, edges)
     headers = S.classes(u).select(F.col("def_key").alias("node"), (F.col("flags").bitwiseAND(INTERFACE) != 0).alias("interface"))
     declared = S.members(u).select(F.col("def_key").alias("node"), "kind", "name", "descriptor", F.col("flags").alias("member_flags"), F.col("index").alias("member_index"))
     hits = (asked.join(owners.where("owner_state = 'resolved'"), "owner").join(up, "root").join(headers, "node").join(declared, ["node", "kind", "name", "descriptor"])
@@ -125,7 +133,7 @@ def declaration_references(u: DataFrame, roots: DataFrame, kind: str, name: byte
     return out if declared_in is None else out.where((F.col("declared_in") == declared_in) | (F.col("state") != "resolved"))
 
 
-def dispatch_candidates(u: DataFrame, roots: DataFrame, def_key: str, name: bytes, descriptor: bytes, depth: int = 8) -> DataFrame:
+def dispatch_candidates(u: DataFrame, roots: DataFrame, def_key: str, name: bytes, descriptor: bytes, depth: int | None = None) -> DataFrame:
     """Methods of the same shape strictly below a definition; the world stays open, so never a proof of all."""
     below = supertypes(u, roots, depth).where((F.col("node") == def_key) & (F.col("depth") > 0)).select(F.col("root").alias("def_key"), "depth")
     shape = (F.col("kind") == "method") & (F.col("name") == F.lit(name)) & (F.col("descriptor") == F.lit(descriptor))

@@ -55,7 +55,7 @@ def _roots(u: DataFrame) -> DataFrame:
 
 
 def _dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = sample_units(spark, 4).persist()
+    u = sample_units(spark).persist()
     key = S.classes(u).where(F.col("this_class") == F.lit(b"p0/C1")).orderBy("unit_seq").first()["def_key"]
     return _plain(resolve.dispatch_candidates(u, _roots(u), key, b"add", b"(II)I"))
 
@@ -74,8 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "artifact_multi_release": lambda spark, sf_dir: S.runtime_matrix(sample_units(spark, wanted=()), [8, 11]),
     "artifact_coverage": lambda spark, sf_dir: S.unit_status(sample_units(spark)),
     "artifact_usage": lambda spark, sf_dir: relations.usage(sample_units(spark)),
-    "artifact_supertypes": lambda spark, sf_dir: resolve.supertypes(u := sample_units(spark, 4), _roots(u)),
-    "artifact_declaration_refs": lambda spark, sf_dir: _plain(resolve.declaration_references(u := sample_units(spark, 4), _roots(u), "method", b"call", b"()V")),
+    "artifact_supertypes": lambda spark, sf_dir: resolve.supertypes(u := sample_units(spark), _roots(u)),
+    "artifact_declaration_refs": lambda spark, sf_dir: _plain(resolve.declaration_references(u := sample_units(spark), _roots(u), "method", b"call", b"()V")),
     "artifact_dispatch": _dispatch,
     "artifact_reflection": lambda spark, sf_dir: _plain(resolve.reflection_patterns(sample_units(spark))),
     "artifact_analysis": lambda spark, sf_dir: _plain(methods.analyze(sample_units(spark)).drop("blocks", "edges", "back_edges", "frames", "phis")),

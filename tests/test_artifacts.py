@@ -502,3 +502,15 @@ def test_cli(spark, tmp_path, capsys):
     assert run("recover", path, "--class", "no.Such") == 3 and run("class-source", path, "--class", "p0.C0") == 3
     with pytest.raises(InvalidInput):
         run("list-classes", path, "--budget", "nope=1")
+
+
+def test_chain_of_ten_classes(spark):
+    u = files(spark, c=A.archive([(f"c/K{i}.class", cls(f"c/K{i}", f"c/K{i - 1}" if i else None, methods_=("far",) if i in (0, 9) else ())) for i in range(10)]))
+    roots = resolve.environment(u, "plain_jar")
+    name = {r.def_key: r.this_class.decode() for r in S.classes(u).collect()}
+    top = next(k for k, v in name.items() if v == "c/K0")
+    below = {name[r.def_key]: r.depth for r in resolve.dispatch_candidates(u, roots, top, b"far", b"()V").collect()}
+    assert below == {"c/K9": 9}
+    other = files(spark, d=A.archive([(f"d/K{i}.class", cls(f"d/K{i}", f"d/K{i - 1}" if i else None, methods_=() if i else ("far",))) for i in range(10)]))
+    wanted = spark.createDataFrame([("method", b"d/K9", b"far", b"()V")], "kind string, owner binary, name binary, descriptor binary")
+    assert [r.state for r in resolve.resolve_members(other, resolve.environment(other, "plain_jar"), wanted).collect()] == ["resolved"]
