@@ -59,3 +59,9 @@ def stored_buckets(df: DataFrame, name: str, key: str, n: int, codec: str = "zst
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """What the optimizer takes df's size to be, without running anything; 0 where it doesn't know."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 0 if size >= 1 << 55 else size

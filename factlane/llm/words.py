@@ -181,11 +181,18 @@ def cuts(keys: np.ndarray, n_buckets: int, width: int = 64) -> np.ndarray:
 
 #: Entries of a batch in one bucket below which more buckets would cost more in rows than they save in memory.
 ROW_ENTRIES = 256
+#: Bytes of text in a batch: PIECE, more for corpora of over 2,048 such, up to LARGEST.
+LARGEST = 64 * PIECE
+
+
+def batch_size(total: int) -> int:
+    """Bytes of text in a batch for a corpus of about ``total`` bytes: a corpus has 2,048 batches before they grow."""
+    return min(LARGEST, max(PIECE, total // 2048))
 
 
 def bucket_count(partitions: int, batches: int, batch_bytes: int) -> int:
     """Buckets for entries of hashed words: about two batches' worth in each, so that a bucket fits a task, but never so
-    many that a batch's rows hold fewer than ROW_ENTRIES of them; larger corpora want larger batches (a parameter)."""
+    many that a batch's rows hold fewer than ROW_ENTRIES of them; batches grow with the corpus (see batch_size)."""
     return max(partitions, min(batches // 2, batch_bytes // (6 * ROW_ENTRIES)))
 
 
