@@ -1,16 +1,17 @@
 """Language identification of mixed-language text.
 
 Training counts hashed byte trigrams (word bounds included) of each learned language, and in which scripts its
-words are written.  The model is one table of LANGUAGES_MOST x 2**16 floats at most, whatever the corpus.
+words are written.  The model is one table of TABLE numbers at most, whatever the corpus: with more than TABLE / 2**16
+languages, neighbouring hashes share a number, the fewer for each language the more languages there are.
 Prediction narrows each word's candidates by the script range of its first character, scores the
 word by naive Bayes over its trigrams, and labels the words of a text by Viterbi with a constant penalty for a
 change of language.  A text's language is the one with most labelled words (ties: the smallest name); its
 score is that share times the certainty that the language beats the next one on its words.
 
-Where no other language gains more than one penalty over any run of words, the best path is constant; such
-texts are settled without stepping through their words.
+Where no other language gains more than half a penalty over any run of words, the best path is constant (see
+``label``); such texts are settled without stepping through their words.
 
-A null or empty text, or one without a letter, is ``und`` with score 0, as is every text where nothing was
+A text of any length is judged whole.  A null or empty text, or one without a letter, is ``und`` with score 0, as is every text where nothing was
 learned.  Rows without a lang are not learned from.  Repeated rows count again.  Other columns are carried along.
 """
 
@@ -25,9 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
+from .storage import stored
 
 FEATURES = 1 << 16
-LANGUAGES_MOST = 512
+TABLE = 1 << 25
 PENALTY = 12.0
 SMOOTH = 0.5
 #: First code points of script ranges in order, with the script that begins there (0: none).
@@ -95,40 +97,42 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    def __init__(self, langs: list[str], counts: np.ndarray):
-        """counts: languages x (features, then scripts)."""
-        self.langs = langs
-        grams = counts[:, :FEATURES].astype(np.float64)
+    def __init__(self, langs: list[str], counts: np.ndarray, shift: int = 0):
+        """counts: languages x (features, then scripts); shift: bits of a feature's hash that are dropped."""
+        self.langs, self.shift = langs, shift
+        grams = counts[:, : FEATURES >> shift].astype(np.float64)
         used = max(1, int((grams.sum(axis=0) > 0).sum()))
         self.scores = np.log(grams + SMOOTH) - np.log(grams.sum(axis=1, keepdims=True) + SMOOTH * used)
-        kinds = counts[:, FEATURES:].astype(np.float64)
+        kinds = counts[:, FEATURES >> shift :].astype(np.float64)
         wrote = kinds >= 0.01 * np.maximum(kinds[:, 1:].sum(axis=1, keepdims=True), 1)
         wrote[:, 0] = True
         wrote[:, ~wrote.any(axis=0)] = True  # a script that nobody writes narrows nothing
         self.allowed = wrote
 
 
-def train(docs: DataFrame) -> Model:
+def train(docs: DataFrame, table: int = TABLE) -> Model:
     """From (text, lang) of rows with both."""
     rows = (docs.where("text is not null and lang is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"))
             .mapInArrow(_count, "lang string, feature int, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n")))
-    langs: dict[str, int] = {}
-    got: list[tuple[int, int, int]] = []
-    for r in rows.toLocalIterator():
-        got.append((langs.setdefault(r["lang"], len(langs)), r["feature"], r["n"]))
-        if len(langs) > LANGUAGES_MOST:
-            raise ValueError(f"more than {LANGUAGES_MOST} languages")
-    names = sorted(langs)
-    counts = np.zeros((len(names), FEATURES + len(SCRIPTS)), np.int64)
-    if got:
-        code, feature, n = np.array(got, np.int64).T
-        counts[np.array([names.index(x) for x in langs])[code], feature] = n
-    return Model(names, counts)
+    rows = stored(rows, "language-counts")
+    names = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    shift = 0
+    while shift < 12 and len(names) * (FEATURES >> shift) > table:
+        shift += 1
+    width = FEATURES >> shift
+    place = F.when(F.col("feature") < FEATURES, F.shiftright("feature", shift)).otherwise(F.col("feature") - FEATURES + width)
+    told = rows.groupBy("lang", place.alias("feature")).agg(F.sum("n").alias("n"))
+    counts = np.zeros((len(names), width + len(SCRIPTS)), np.int64)
+    number = {x: k for k, x in enumerate(names)}
+    got = told.groupBy("lang").agg(F.collect_list("feature").alias("features"), F.collect_list("n").alias("counts")).toArrow()  # two lists a language
+    for lang, features_, n in zip(got.column("lang").to_pylist(), got.column("features"), got.column("counts"), strict=True):
+        counts[number[lang], features_.values.to_numpy()] = n.values.to_numpy()
+    return Model(names, counts, shift)
 
 
 def word_scores(model: Model, found: W.Words) -> np.ndarray:
     """words x languages: log-likelihoods; other languages than a word's script allows are ruled out."""
-    hashed = features(found)
+    hashed = features(found) >> np.uint32(model.shift)
     out = np.empty((len(found), len(model.langs)))
     total = np.zeros(len(found.data) + 1)
     for k in range(len(model.langs)):
@@ -247,7 +251,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, with_text:
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in taken])
     held = [f for f in rows.schema.fields if with_text or f.name != "text"]
     out = T.StructType([*held, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", SPANS)])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded, see LANGUAGES_MOST
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded, see TABLE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.blocks(batches, W.PIECE // max(1, len(shared.value.langs) // 8)):

@@ -56,3 +56,90 @@ def test_query_on_held_out(spark):
 def test_a_language_that_neither_half_is_in():
     b, k = np.zeros(6), np.array([3.0, 3, 3, -10, -10, -10])
     assert L.label(np.column_stack([b, k, k[::-1]]), np.array([0, 6]), 12.0).tolist() == [1, 1, 1, 2, 2, 2]
+
+
+def viterbi(scores, penalty):
+    """(value, path) of the best path, a step at a time."""
+    best, back = list(scores[0]), []
+    for row in scores[1:]:
+        top = max(range(len(row)), key=lambda j: best[j])
+        back.append([j if best[j] >= best[top] - penalty else top for j in range(len(row))])
+        best = [max(best[j], best[top] - penalty) + row[j] for j in range(len(row))]
+    at = max(range(len(best)), key=lambda j: best[j])
+    path = [at]
+    for step in reversed(back):
+        path.append(step[path[-1]])
+    return max(best), path[::-1]
+
+
+def test_viterbi_on_long_texts_and_many_languages():
+    rng = np.random.default_rng(5)
+    counts = rng.integers(20, 200, 120)
+    first = np.append(0, np.cumsum(counts))
+    for spread in (0.5, 2.0, 6.0):
+        truth = np.repeat(rng.integers(0, 5, first[-1] // 7 + 1), 7)[: first[-1]]
+        scores = rng.normal(0, spread, (first[-1], 5))
+        scores[np.arange(first[-1]), truth] += spread
+        path = L.label(scores, first, 12.0)
+        for a, b in zip(first[:-1], first[1:]):
+            worth = scores[np.arange(a, b), path[a:b]].sum() - 12.0 * np.count_nonzero(path[a + 1 : b] != path[a : b - 1])
+            assert abs(worth - viterbi(scores[a:b], 12.0)[0]) < 1e-6
+
+
+def brute_word(model, word, allowed):
+    if word.isdigit():
+        return [0.0] * len(model.langs)
+    data = b" " + word + b" "
+    hashed = [((data[i - 1] << 16 | data[i] << 8 | data[i + 1]) * 2654435761 % 2**32) >> 16 for i in range(1, len(data) - 1)]
+    return [sum(model.scores[k][h] for h in hashed) - (0 if ok else 1e4) for k, ok in enumerate(allowed)]
+
+
+def test_query_against_brute_force(spark):
+    """Every row of the query: words, scores, the best path, the vote and the certainty from their definitions."""
+    docs = [r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    model = L.train(spark.read.parquet(f"{SF}/documents.parquet").where(~L.held_out(L.F.col("doc_id"))))
+    got = {r.doc_id: r for r in L.op4(spark, SF).collect()}
+    memo = {}
+    for d in docs:
+        data = "".join(c.lower() if "A" <= c <= "Z" else c for c in d.text or "").encode()
+        words = bytes(32 if L.W.ALNUM[b] else b for b in data).split(b" ")
+        words = [w for w in words if w]
+        if not any(c.isalpha() for c in d.text or ""):
+            assert (got[d.doc_id].lang_pred, got[d.doc_id].score) == ("und", 0)
+            continue
+        rows = []
+        for w in words:
+            if w not in memo:
+                point = ord(w.decode()[0])
+                script = L.SCRIPTS.index([s for a, s in L.RANGES if a <= point][-1])
+                memo[w] = brute_word(model, w, model.allowed[:, script])
+            rows.append(memo[w])
+        value, path = viterbi(rows, L.PENALTY)
+        votes = [path.count(k) for k in range(len(model.langs))]
+        lead = max(votes)
+        if votes.count(lead) > 1:
+            continue
+        best = votes.index(lead)
+        mine = [r for r, p in zip(rows, path) if p == best]
+        sums = [sum(r[k] for r in mine) for k in range(len(model.langs))]
+        margin = min(30, max(-30, sums[best] - max(x for k, x in enumerate(sums) if k != best)))
+        assert got[d.doc_id].lang_pred == model.langs[best]
+        assert abs(got[d.doc_id].score - lead / len(words) / (1 + np.exp(-margin))) < 1e-6
+
+
+def test_ties_go_to_the_smallest_name(spark):
+    learn = spark.createDataFrame([("aaa bbb", "yy"), ("aaa bbb", "xx")], "text string, lang string")
+    docs = spark.createDataFrame([(1, "aaa bbb ccc")], "doc_id long, text string")
+    assert L.identify(docs, L.train(learn)).first().lang_pred == "xx"
+
+
+def test_more_languages_than_the_table_holds_whole(spark):
+    """600 languages in a table for 512: they share hashes and are still told apart."""
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    texts = {f"l{k:03d}": " ".join("".join(rng.choice(letters, 7)) for _ in range(12)) for k in range(600)}
+    docs = spark.createDataFrame([(k, t, x) for k, (x, t) in enumerate(texts.items())], "doc_id long, text string, lang string")
+    model = L.train(docs, table=512 << 16)
+    assert model.shift == 1 and len(model.langs) == 600 and model.scores.size <= 512 << 16
+    got = L.identify(docs, model).collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.95
