@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from factlane.llm import decontaminate as D
@@ -49,16 +50,57 @@ def test_fixture_against_brute_force(spark):
     assert D.contamination(d.limit(0), b).count() == 0
 
 
+def brute_near(docs, items, window=10, slop=5):
+    """The words in runs that hold all words of a window and are short enough, for each document."""
+    wanted = set()
+    for _, text in items:
+        w = _words(text)
+        for i in range(max(1, len(w) - window + 1) if w else 0):
+            part = w[i : i + window]
+            wanted.add((frozenset(part), len(part) + slop * len(part) // window))
+    out = []
+    for _, text in docs:
+        w, near = _words(text), set()
+        for terms, most in wanted:
+            if not terms <= set(w):
+                continue
+            for i in range(len(w)):
+                if w[i] in terms:
+                    for n in range(len(terms), most + 1):
+                        if i + n <= len(w) and terms <= set(w[i : i + n]):
+                            near.update(range(i, i + n))
+                            break
+        out.append(len(near))
+    return out
+
+
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "p q r alpha x beta y gamma"), (2, "gamma beta alpha"), (3, "alpha " + "z " * 50 + "beta gamma")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
-    got = {r.doc_id: (r.n_hit, r.n_near) for r in D.contamination(d, b, slop=4).collect()}
-    assert got == {1: (0, 1), 2: (0, 1), 3: (0, 0)}
+    got = {r.doc_id: (r.n_hit, r.n_near) for r in D.contamination(d, b, window=3, slop=4).collect()}
+    assert got == {1: (0, 5), 2: (0, 3), 3: (0, 0)}
+
+
+def test_proximity_against_brute_force(spark):
+    """Small vocabularies, repeated rows and items, and a benchmark in one block or in many: always the same."""
+    rng = random.Random(2)
+    text = lambda n: " ".join(rng.choice("abcdefg") for _ in range(n))
+    docs = [(i, text(rng.randrange(0, 40))) for i in range(60)] + [(7, "a b c d e f g a b"), (100, None)]
+    docs += docs[:5]
+    items = [(i, text(rng.randrange(0, 9))) for i in range(12)] + [(3, "g f e d c")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(zip([i for i, _ in docs], [x[2] for x in brute(docs, items, 4)], brute_near(docs, items, 4, 3), strict=True))
+    for limit in (1 << 20, 30):
+        got = D.contamination(d, b, window=4, slop=3, block_bytes=limit).collect()
+        assert sorted((r.doc_id, r.n_hit, r.n_near) for r in got) == want
+    assert any(near > hit > 0 for _, hit, near in want)
 
 
 def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    want = sorted((i, n, h, len(f), hashlib.sha256(",".join(f).encode()).hexdigest(), h > 0) for i, n, h, f in brute(docs, items))
+    near = brute_near(docs, items)
+    want = sorted((i, n, h, len(f), hashlib.sha256(",".join(f).encode()).hexdigest(), h > 0, k) for (i, n, h, f), k in zip(brute(docs, items), near, strict=True))
     assert sorted(map(tuple, D.op5(spark, SF).collect())) == want
     assert any(x[2] for x in want)
