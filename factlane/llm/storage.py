@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -65,3 +65,18 @@ def plan_bytes(df: DataFrame) -> int:
     """What the optimizer takes df's size to be, without running anything; 0 where it doesn't know."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return 0 if size >= 1 << 55 else size
+
+
+#: Keys with more than one row in HOT are hot; there are HOT such at most, however large a table is.
+HOT = 1000
+
+
+def hot_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """big joined with small, which has one narrow row a key; how is inner or left.  What small has for hot keys of big, at
+    most HOT rows, is broadcast, so that no task gets a key with more than one row in HOT.  Both are read twice."""
+    most = big.count() / HOT
+    hot = F.broadcast(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > most).select(*keys, F.lit(True).alias("_hot")))
+    marked = big.join(hot, keys, "left")
+    there = small.join(hot, keys).drop("_hot")
+    left = marked.where("_hot").drop("_hot").join(F.broadcast(there), keys, how)
+    return left.unionByName(marked.where("_hot is null").drop("_hot").join(small, keys, how))

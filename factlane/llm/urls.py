@@ -8,10 +8,13 @@ shape (digits, letters and signs in order, runs as one) are generalised together
 - branches with at least LABELS labels each that are statistically similar (a two-proportion test of their
   share of blocked pages against their shape's at |z| < Z) are merged; others stay as they are.
 A template is rejected if its smoothed purity, (blocked + PRIOR) / (labelled + 2 PRIOR), is at least PURE.
-A page that no rule fits gets its template's verdict.  Deeper segments than DEPTH belong to the template above.
+A page that no rule fits gets its template's verdict.  Levels go on as deep as paths do: where a template has one path
+alone, what is left of that path is its template, and it is done.
 
-A null url, or one without ``://``, has an empty host and path and is allowed.  Repeated rows get equal rows.
-Pages are only aggregated by (host, path), so hot hosts and hot pages are summed before they are dealt.
+A null url, or one without ``://``, has an empty host and path and is allowed.  Repeated rows get equal rows; of two
+rules of one length that fit, the first wins.  Urls of any length are judged whole.  Other columns are ignored.
+Pages are only aggregated by (host, path), so hot hosts and hot pages are summed before they are dealt; sums go back
+to their rows by joins that broadcast what hot keys need (see ``storage.hot_join``).
 """
 
 from __future__ import annotations
@@ -19,11 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import hot_join, stored
 
 #: (verdict, host, path)
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-DEPTH, MANY, VARIED, LABELS, Z, PRIOR, PURE = 8, 3, 0.5, 5, 1.96, 2.0, 0.8
+MANY, VARIED, LABELS, Z, PRIOR, PURE = 3, 0.5, 5, 1.96, 2.0, 0.8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -50,17 +53,16 @@ def shape(segment: Column) -> Column:
 
 
 def _level(tree: DataFrame, depth: int) -> DataFrame:
-    """The templates one segment longer."""
-    here = tree.where(F.size("segments") > depth).withColumn("segment", F.col("segments")[depth])
-    rest = tree.where(F.size("segments") <= depth)
+    """The templates one segment longer; every path of tree has so many."""
+    here = tree.withColumn("segment", F.col("segments")[depth])
     key = ["host", "template", "segment"]
-    children = (here.groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("n", "blocked", "labelled")])
-                .withColumn("shape", shape(F.col("segment"))))
-    kinds = (children.groupBy("host", "template", "shape")
-             .agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("pages"),
-                  F.sum(F.when(F.col("labelled") >= LABELS, F.col("blocked"))).alias("all_blocked"),
-                  F.sum(F.when(F.col("labelled") >= LABELS, F.col("labelled"))).alias("all_labelled")))
-    told = children.join(kinds, ["host", "template", "shape"])
+    children = stored(here.groupBy(*key).agg(F.count(F.lit(1)).alias("paths"), *[F.sum(c).alias(c) for c in ("n", "blocked", "labelled")])
+                      .withColumn("shape", shape(F.col("segment"))), f"urls-children{depth}")
+    kinds = stored(children.groupBy("host", "template", "shape")
+                   .agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("pages"),
+                        F.sum(F.when(F.col("labelled") >= LABELS, F.col("blocked"))).alias("all_blocked"),
+                        F.sum(F.when(F.col("labelled") >= LABELS, F.col("labelled"))).alias("all_labelled")), f"urls-kinds{depth}")
+    told = hot_join(children, kinds, ["host", "template", "shape"])
     variable = (F.col("kinds") >= MANY) & (F.col("shape").contains("9") | (F.col("kinds") > VARIED * F.col("pages")))
     others = F.col("all_labelled") - F.col("labelled")
     p = F.col("all_blocked") / F.col("all_labelled")
@@ -68,23 +70,33 @@ def _level(tree: DataFrame, depth: int) -> DataFrame:
     error = F.sqrt(p * (1 - p) * (1 / F.col("labelled") + 1 / others))
     similar = (F.col("labelled") >= LABELS) & (others > 0) & (F.abs(difference) <= Z * error)
     step = F.when(variable, F.concat(F.lit("<"), "shape", F.lit(">"))).when(similar, F.concat(F.lit("{"), "shape", F.lit("}"))).otherwise(F.col("segment"))
-    steps = told.select(*key, step.alias("step"))
-    grown = here.join(steps, key).withColumn("template", F.concat("template", F.lit("/"), "step")).drop("segment", "step")
-    return rest.unionByName(grown)
+    steps = stored(told.select(*key, step.alias("step")), f"urls-steps{depth}")
+    return hot_join(here, steps, key).withColumn("template", F.concat("template", F.lit("/"), "step")).drop("segment", "step")
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, path, template, blocked, labelled, purity) of the distinct (host, path) of pages with a verdict column."""
     paths = (pages.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("verdict") == "block", 1)).alias("blocked"),
                                                F.count("verdict").alias("labelled"))
-             .withColumn("segments", F.slice(F.filter(F.split("path", "/"), lambda s: s != ""), 1, DEPTH)).withColumn("template", F.lit("")))
-    tree = stored(paths, "urls-paths")
-    deepest = tree.agg(F.max(F.size("segments"))).first()[0] or 0
-    for depth in range(deepest):
+             .withColumn("segments", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("template", F.lit("")))
+    tree, done, depth = stored(paths, "urls-paths"), [], 0
+    while True:
+        alone = stored(tree.groupBy("host", "template").agg(F.count(F.lit(1)).alias("paths")), f"urls-nodes{depth}")
+        told = stored(hot_join(tree, alone, ["host", "template"]), f"urls-open{depth}")
+        rest = F.slice("segments", F.lit(depth + 1), F.greatest(F.size("segments") - depth, F.lit(0)))
+        over = (F.size("segments") <= depth) | (F.col("paths") == 1)
+        done.append(told.where(over).withColumn("template", F.concat_ws("/", "template", rest)).drop("paths"))
+        tree = told.where(~over).drop("paths")
+        if tree.isEmpty():
+            break
         tree = stored(_level(tree, depth), f"urls-level{depth}")
-    sums = tree.groupBy("host", "template").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
+        depth += 1
+    whole = done[0]
+    for part in done[1:]:
+        whole = whole.unionByName(part)
+    sums = stored(whole.groupBy("host", "template").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled")), "urls-templates")
     sums = sums.withColumn("purity", (F.col("blocked") + PRIOR) / (F.col("labelled") + 2 * PRIOR))
-    return tree.select("host", "path", "template").join(sums, ["host", "template"])
+    return hot_join(whole.select("host", "path", "template"), sums, ["host", "template"])
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -92,9 +104,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     url = F.col("url").cast("string")
     parsed = pages.select("page_id", host(url).alias("host"), path(url).alias("path"))
     parsed = parsed.withColumns({"rule": rule(rules, "rule"), "verdict": rule(rules, "verdict")})
-    tree = templates(parsed)
+    tree = stored(templates(parsed), "urls-judged")
     method = F.when(F.col("purity") >= PURE, "block").otherwise("allow")
-    return (parsed.join(tree, ["host", "path"], "left")
+    return (hot_join(parsed, tree, ["host", "path"], "left")
             .select("page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), "template", "purity"))
 
 

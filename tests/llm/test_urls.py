@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 from factlane.llm import urls as U
+from factlane.llm.storage import hot_join
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,16 +13,16 @@ def parse(url):
     return ("".join(c.lower() if "A" <= c <= "Z" else c for c in m[1]), m[2]) if m else ("", "")
 
 
-def brute(urls):
+def brute(urls, rules=U.RULES):
     """(host, path, rule, verdict, template) for each url."""
     rows = []
     for u in urls:
         h, p = parse(u)
-        fit = [(v, a, b) for v, a, b in U.RULES if (h == a or h.endswith("." + a)) and p.startswith(b)]
+        fit = [(v, a, b) for v, a, b in rules if (h == a or h.endswith("." + a)) and p.startswith(b)]
         best = max(fit, key=lambda r: len(r[1] + r[2]), default=None)
         rows.append([h, p, best and best[1] + best[2], best and best[0]])
     template = {(h, p): "" for h, p, _, _ in rows}
-    segments = {(h, p): [s for s in p.split("/") if s][: U.DEPTH] for h, p in template}
+    segments = {(h, p): [s for s in p.split("/") if s] for h, p in template}
     count = defaultdict(lambda: [0, 0, 0])
     for h, p, _, v in rows:
         for k, x in enumerate((1, v == "block", v is not None)):
@@ -65,10 +66,10 @@ def brute(urls):
     return out
 
 
-def compare(spark, rows):
+def compare(spark, rows, rules=U.RULES):
     d = spark.createDataFrame([(i, u, "clash", "x") for i, u in rows], "page_id long, url string, host string, verdict string")
-    got = sorted((r.page_id or -1, r.host, r.path, r.rule or "", r.verdict, r.template) for r in U.judge(d).collect())
-    want = sorted((i or -1, h, p, r or "", v, t) for (i, _), (h, p, r, v, t) in zip(rows, brute([u for _, u in rows])))
+    got = sorted((r.page_id or -1, r.host, r.path, r.rule or "", r.verdict, r.template) for r in U.judge(d, rules).collect())
+    want = sorted((i or -1, h, p, r or "", v, t) for (i, _), (h, p, r, v, t) in zip(rows, brute([u for _, u in rows], rules)))
     assert got == want
     return got
 
@@ -84,6 +85,26 @@ def test_fixture_against_brute_force(spark):
     assert any("<9>" in r[5] for r in got)
 
 
+def test_deep_paths(spark):
+    """Nine segments: the branches differ at the first and the last alone, and labels don't cross over."""
+    rules = [("block", "x.com", f"/bad/b/c/d/e/f/g/h/{i}") for i in range(1, 9)]
+    urls = [f"http://x.com/{a}/b/c/d/e/f/g/h/{i}" for a in ("bad", "good") for i in range(12)] + ["http://x.com/bad/b/c", "http://x.com/" + "s/" * 300]
+    got = compare(spark, list(enumerate(urls)), rules)
+    assert {r[4] for r in got if r[2].startswith("/bad/b/c/d")} == {"block"} and {r[4] for r in got if r[2].startswith("/good")} == {"allow"}
+
+
+def test_rules_of_one_length(spark):
+    rules = [("allow", "a.com", "/x"), ("block", "a.com", "/x"), ("block", "a.com", "/y"), ("allow", "com", "/x/zz")]
+    compare(spark, list(enumerate(["http://a.com/x", "http://a.com/x/zz", "http://a.com/y", "http://b.a.com/x1"])), rules)
+
+
+def test_hot_keys_do_not_change_the_join(spark):
+    big = spark.range(5000).selectExpr("case when id % 3 = 0 then null when id % 3 = 1 then 7 else id end as k", "id as x").where("k is not null")
+    small = big.select("k").distinct().where("k % 2 = 1").selectExpr("k", "k * 2 as y")
+    for how in ("inner", "left"):
+        assert sorted(map(str, hot_join(big, small, ["k"], how).collect())) == sorted(map(str, big.join(small, ["k"], how).collect()))
+
+
 def test_templates_carry_labels(spark, monkeypatch):
     """Unlabelled pages of a template whose labelled ones are blocked are blocked; merged branches share labels."""
     monkeypatch.setattr(U, "RULES", [("block", "x.com", f"/p/{i}") for i in range(1, 9)])
