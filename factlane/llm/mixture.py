@@ -2,16 +2,16 @@
 
 The words of each source, its documents in a fixed order, are one stream cut into blocks of ``block`` words.
 The sources' targets are water-filled: weights are honoured up to ``most`` times a source's size.  Output shards
-of ``shard`` slots draw their multinomial source counts by systematic sampling (one random offset a shard,
-slots evenly spaced through the cumulated shares: each count has the multinomial's mean and differs from it by
-less than one).  A source's slots, numbered through the shards, are mapped epoch by epoch through a
-pseudorandom permutation of its block numbers (swap-or-not rounds), so between two epochs no block is used
-twice more than another.  Slots are then joined to blocks, and blocks to documents, by block number.
+of ``shard`` slots draw their source counts at random: a pseudorandom permutation (swap-or-not rounds) sends the
+slots of all shards to the sources' slots, which lie end to end, so a shard's counts are a multinomial draw given the
+sums over all shards, and those are the targets.  A source's slots are mapped epoch by epoch through a
+pseudorandom permutation of its block numbers, so between two epochs no block is used twice more than another.
+Slots are then joined to blocks, and blocks to documents, by block number.
 
 Sizes and offsets are summed in two steps over hash ranges of documents, so a source that holds most rows is
 never in one task.  Everything is a function of ids, texts and the seed: reruns agree.
 
-A null text has no words; a null source is a source of its own, the last.  Rows that repeat a doc_id are
+A text of any length is counted whole and may lie in many blocks.  A null text has no words; a null source is a source of its own, the last.  Rows that repeat a doc_id are
 documents of their own (equal ones are told apart by number).  A source without words has no target.
 """
 
@@ -109,43 +109,32 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
     return Mix(numbered, sources, stored(slots(spark, sources, most, block, shard, seed), "mix-slots"), block)
 
 
+#: Slots of a task.
+TASK_SLOTS = 50_000
+
+
 def slots(spark: SparkSession, sources: DataFrame, most: int, block: int, shard: int, seed: int) -> DataFrame:
     """The slots of all shards, from the sources' targets alone.
 
-    Slots that would begin a source's epoch number ``most`` (a few, where a target is at its cap and the draw went over it)
-    stay empty, so no block is ever used more than ``most`` times.
+    Slots that would begin a source's epoch number ``most`` (one, where a target is at its cap and was rounded up) stay
+    empty, so no block is ever used more than ``most`` times.
     """
-    total = Window.partitionBy(F.lit(0))
-    upto = total.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(F.lit(0)).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     plan = (sources.where("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
             .withColumn("wanted", F.col("target") * F.col("blocks") / F.col("source_size"))  # slots, as the last block is short
-            .withColumn("upto", F.sum("wanted").over(upto)).withColumn("all", F.sum("wanted").over(total))
-            .withColumn("low", (F.col("upto") - F.col("wanted")) / F.col("all"))
-            .withColumn("high", F.when(F.col("rank") == F.max("rank").over(total), 2.0).otherwise(F.col("upto") / F.col("all"))))
-    told = plan.agg(F.round(F.max("all")).cast("long").alias("n"), F.count(F.lit(1)).alias("sources")).first()
+            .withColumn("high", F.round(F.sum("wanted").over(upto)).cast("long")).withColumn("low", F.round(F.sum("wanted").over(upto) - F.col("wanted")).cast("long")))
+    told = plan.agg(F.max("high").alias("n"), F.count(F.lit(1)).alias("sources")).first()
     needed, bins = told["n"] or 0, max(1024, told["sources"])
-    # systematic sampling: slot i of a shard stands at (i + offset) / width, and its source is the one whose part of [0, 1) this is
-    each = (spark.range(0, needed, 1, max(partitions(spark), needed // 1_000_000 + 1))
-            .select(F.floor(F.col("id") / shard).alias("shard"), (F.col("id") % shard).alias("slot"))
-            .withColumn("width", F.least(F.lit(shard), F.lit(needed) - F.col("shard") * shard))
-            .withColumn("offset", F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), "shard"), F.lit(1 << 30)) / float(1 << 30))
-            .withColumn("place", (F.col("slot") + F.col("offset")) / F.col("width")).withColumn("bin", F.floor(F.col("place") * bins)))
-    bin_of = lambda c: F.least(F.lit(bins - 1), F.floor(F.col(c) * bins))
-    parts = plan.select("rank", "blocks", "low", "high", F.explode(F.sequence(bin_of("low"), bin_of("high"))).alias("bin"))
-    drawn = each.join(parts, "bin").where((F.col("place") >= F.col("low")) & (F.col("place") < F.col("high"))).select("shard", "slot", "rank", "blocks")
-    drawn = stored(drawn, "mix-drawn")
-    # a source's slots are numbered through the shards, in groups of shards whose sums are added first
-    counts = (drawn.groupBy("rank", "shard").agg(F.count(F.lit(1)).alias("drawn"), F.min("slot").alias("from"))
-              .withColumn("group", F.floor(F.col("shard") / 1024)))
-    inner = Window.partitionBy("rank", "group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    prior = Window.partitionBy("rank").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
-    groups = (counts.groupBy("rank", "group").agg(F.sum("drawn").alias("drawn"))
-              .select("rank", "group", F.coalesce(F.sum("drawn").over(prior), F.lit(0)).alias("before")))
-    begin = (counts.withColumn("inside", F.coalesce(F.sum("drawn").over(inner), F.lit(0))).join(groups, ["rank", "group"])
-             .select("rank", "shard", "from", (F.col("before") + F.col("inside")).alias("first")))
-    n = F.col("first") + F.col("slot") - F.col("from")  # a source's slots in a shard are neighbours
-    numbered = (drawn.join(begin, ["rank", "shard"]).withColumn("epoch", F.floor(n / F.col("blocks")))
-                .withColumn("index", n - F.col("epoch") * F.col("blocks")).where(F.col("epoch") < most))
+    width = needed // bins + 1
+    place = permuted(F.col("id"), F.lit(max(1, needed)), F.lit(seed), F.lit("slots"))
+    each = (spark.range(0, needed, 1, max(partitions(spark), needed // TASK_SLOTS + 1))
+            .select(F.floor(F.col("id") / shard).alias("shard"), (F.col("id") % shard).alias("slot"), place.alias("place"))
+            .withColumn("bin", F.floor(F.col("place") / width)))
+    parts = plan.select("rank", "blocks", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))).alias("bin"))
+    drawn = (each.join(stored(parts, "mix-parts"), "bin")  # stored, so that its size is known and decides how they are joined
+             .where((F.col("place") >= F.col("low")) & (F.col("place") < F.col("high"))).withColumn("n", F.col("place") - F.col("low")))
+    numbered = (drawn.withColumn("epoch", F.floor(F.col("n") / F.col("blocks"))).withColumn("index", F.col("n") - F.col("epoch") * F.col("blocks"))
+                .where(F.col("epoch") < most))
     chosen = permuted(F.col("index"), F.col("blocks"), F.lit(seed), F.col("rank"), F.col("epoch"))
     return numbered.select("shard", "slot", "rank", chosen.alias("block"))
 
