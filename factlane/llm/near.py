@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .storage import partitions, stored
+from .storage import hot_join, hot_keys, partitions, release, stored
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -44,12 +44,14 @@ SETS = "node binary, grams binary"
 
 def band_plan(threshold: float, recall: float, most: int = 160) -> tuple[int, int]:
     """(bands, rows): the most selective banding of at most ``most`` hashes that reaches the recall at the threshold."""
-    best = (1, 1)
+    best = None
     for rows in range(1, 33):
         p = threshold**rows
-        bands = 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - p))
+        bands = 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-p)) if p > 0 else most + 1
         if bands * rows <= most:
             best = (bands, rows)
+    if best is None:
+        raise ValueError(f"no banding of {most} hashes finds pairs at {threshold} with a recall of {recall}")
     return best
 
 
@@ -179,8 +181,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, sim) for pairs of nodes, on their full sets."""
-    both = (pairs.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-            .join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a"))
+    each = pairs.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+    both = hot_join(each, sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), ["a"], hot=hot_keys(pairs, ["a"]))  # leaders of many
     return both.select("a", "b", "x", "y").mapInArrow(_verify, "a binary, b binary, sim double")
 
 
@@ -268,7 +270,7 @@ def _degrees(threshold: float):
 
 def block_pairs(rows: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
     """rows (key, node, ...) once for each pair (i, j) of the key's blocks that their own block is part of."""
-    dealt = (rows.join(sizes, key).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    dealt = (hot_join(rows, sizes, [key]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
              .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return (dealt.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
@@ -278,15 +280,19 @@ def block_pairs(rows: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each node's component."""
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "near-links")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "near-labels")
+    hubs = stored(hot_keys(both, ["b"]), "near-hubs")
+    table = stored(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "near-labels")
     while True:
-        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
-        least = labels.join(seen, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
+        labels = table.select("node", "label")
+        seen = hot_join(both, labels.withColumnRenamed("node", "b"), ["b"], hot=hubs).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
+        least = stored(labels.join(seen, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label")), "near-least")
         jump = least.select(F.col("node").alias("label"), F.col("label").alias("over"))
-        new = stored(least.join(jump, "label", "left").select("node", "old", F.least("label", "over").alias("label")), "near-labels")
-        labels = new.select("node", "label")
+        new = stored(hot_join(least, jump, ["label"], "left").select("node", "old", F.least("label", "over").alias("label")), "near-labels")
+        release(table, least)
+        table = new
         if new.where(F.col("label") != F.col("old")).isEmpty():
-            return labels
+            release(both, hubs)
+            return new
 
 
 def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -303,13 +309,14 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
                      .agg(F.min(F.struct("doc_id", "digest")).alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "near-classes")
     banded = classes.select("node", F.explode("bands").alias("bucket"))
     leaders = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(banded.join(leaders.drop("n"), "bucket"), "near-members")
+    members = stored(hot_join(banded, leaders.drop("n"), ["bucket"]), "near-members")
 
     wanted = members.select("node").distinct().join(classes, "node").select("doc.doc_id").distinct()
     sets = stored(texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(W.NULL_ID))).join(wanted.hint("merge"), "doc_id", "left_semi")
-                  .mapInArrow(_sets(n), SETS), "near-sets")
+                  .mapInArrow(_sets(n), SETS).dropDuplicates(["node"]), "near-sets")  # rows that repeat an id bring a set again
 
-    stars = stored(verified(members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), sets), "near-stars")
+    compared = stored(members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "near-compared")
+    stars = stored(verified(compared, sets), "near-stars")
     links = stars.where(F.col("sim") >= threshold - 1e-12)
     far = 1 - threshold
     told = (members.where("node != leader")
@@ -317,28 +324,31 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
             .withColumn("off", F.col("d") > far + 1e-12))
     odd = (told.groupBy("bucket").agg(F.count(F.when(F.col("off"), 1)).alias("odd"),
                                       F.min(F.when(F.col("off") & (F.col("d") <= 2 * far + 1e-9), F.col("d"))).alias("reach")).where("odd > 0"))
-    left = stored(told.join(odd, "bucket").where(F.col("off") | (F.col("d") >= F.col("reach") - far - 1e-9)).select("bucket", "node"), "near-left")
+    left = stored(hot_join(told, odd, ["bucket"]).where(F.col("off") | (F.col("d") >= F.col("reach") - far - 1e-9)).select("bucket", "node"), "near-left")
     sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     few = left.join(sizes.where(F.col("n") <= SMALL).select("bucket"), "bucket")
-    pairs = (few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "bucket").where("a < b").select("a", "b").distinct()
-             .join(stars.select("a", "b"), ["a", "b"], "left_anti"))
+    pairs = stored(few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "bucket").where("a < b").select("a", "b").distinct()
+                   .join(stars.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs")
     links = links.unionByName(verified(pairs, sets).where(F.col("sim") >= threshold - 1e-12))
     many = block_pairs(left, "bucket", sizes.where(F.col("n") > SMALL)).join(sets, "node")
     links = links.unionByName(by_group(many, ["bucket", "i", "j"], _forest(threshold), "a binary, b binary, sim double", ["a", "b", "sim"]))
 
-    labels = components(links)
+    table = components(links)
+    release(members, compared, stars, left, pairs)
+    labels = table.select("node", "label")
     inside = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     grouped = block_pairs(labels.join(classes.select("node", "copies"), "node"), "label", inside).join(sets, "node")
     degrees = (by_group(grouped, ["label", "i", "j"], _degrees(threshold), "node binary, links bigint", ["node", "links"])
                .groupBy("node").agg(F.sum("links").alias("links")))
     named = labels.join(classes.select("node", "doc"), "node")
     first = named.groupBy("label").agg(F.min("doc").alias("first"))
-    linked = named.join(first, "label").join(degrees, "node", "left").select("node", "first", "links")
-    per_node = (classes.select("node", "doc", "copies").join(linked, "node", "left")
-                .select("node", "copies", F.coalesce("first", "doc").alias("first"), F.coalesce("links", F.lit(0)).alias("links")))
+    linked = hot_join(named, first, ["label"]).join(degrees, "node", "left").select("node", "first", "links")
+    per_node = stored(classes.select("node", "doc", "copies").join(linked, "node", "left")
+                      .select("node", "copies", F.coalesce("first", "doc").alias("first"), F.coalesce("links", F.lit(0)).alias("links")), "near-judged")
+    release(table, classes, sets)
     blank = lambda c: F.when(c != W.NULL_ID, c)
     own = F.struct("doc_id", "digest")
-    return (signed.select("doc_id", "digest", "node").join(per_node, "node", "left").withColumn("first", F.coalesce("first", own))
+    return (hot_join(signed.select("doc_id", "digest", "node"), per_node, ["node"], "left").withColumn("first", F.coalesce("first", own))
             .select(blank(F.col("doc_id")).alias("doc_id"), blank(F.col("first.doc_id")).alias("class_id"),
                     (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
                     F.coalesce("copies", F.lit(1)).alias("n_copies"), "digest", (F.col("first") == own).alias("keeper")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,10 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset (tests, one machine) a local folder."""
+    """The session's spark.checkpoint.dir; where it is unset on one machine (tests) a local folder.  A cluster must set it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
     if not base:  # it cannot be set in a running session: remembered here
         app = spark.sparkContext.applicationId
         if app not in _OWN:
@@ -36,8 +39,7 @@ def fresh(spark: SparkSession, name: str) -> str:
 def clean(spark: SparkSession) -> None:
     """Delete what this process has written to the shared folder; results that still read it must have been consumed."""
     while _MADE:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _MADE.pop())
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -45,16 +47,39 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = fresh(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+#: Where stored tables are, as long as somebody holds them.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more (a result must not have them in its plan)."""
+    for df in tables:
+        if (path := _PATHS.pop(df, None)) is not None:
+            _MADE.remove(path)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored_buckets(df: DataFrame, name: str, key: str, n: int, codec: str = "zstd") -> DataFrame:
-    """As ``stored``, bucketed, so that a join on ``key`` moves only the other side."""
+    """As ``stored``, bucketed, so that a join on ``key`` moves only the other side.  The catalog forgets the table at once;
+    the plan that read it keeps its files and buckets."""
     spark = df.sparkSession
     table = f"factlane_{name}_{uuid.uuid4().hex}"
-    (df.write.format("parquet").option("compression", codec).option("path", fresh(spark, name))
-       .bucketBy(n, key).saveAsTable(table))
-    return spark.table(table)
+    path = fresh(spark, name)
+    df.write.format("parquet").option("compression", codec).option("path", path).bucketBy(n, key).saveAsTable(table)
+    out = spark.table(table)
+    _PATHS[out] = path
+    spark.sql(f"DROP TABLE {table}")  # external: its files stay
+    return out
 
 
 def partitions(spark: SparkSession) -> int:
@@ -71,12 +96,17 @@ def plan_bytes(df: DataFrame) -> int:
 HOT = 1000
 
 
-def hot_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """big joined with small, which has one narrow row a key; how is inner or left.  What small has for hot keys of big, at
-    most HOT rows, is broadcast, so that no task gets a key with more than one row in HOT.  Both are read twice."""
-    most = big.count() / HOT
-    hot = F.broadcast(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > most).select(*keys, F.lit(True).alias("_hot")))
-    marked = big.join(hot, keys, "left")
-    there = small.join(hot, keys).drop("_hot")
-    left = marked.where("_hot").drop("_hot").join(F.broadcast(there), keys, how)
-    return left.unionByName(marked.where("_hot is null").drop("_hot").join(small, keys, how))
+def hot_keys(big: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _copies) of the hot keys of big: the tasks that each is to be split into.  At most HOT rows."""
+    most = max(1.0, big.count() / HOT)
+    return big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > most).select(*keys, F.ceil(F.col("_rows") / most).cast("int").alias("_copies"))
+
+
+def hot_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """big joined with small, which has one row a key; how is inner or left.  Hot keys of big are salted by a hash of their
+    rows and what small has for them is copied, 2 * HOT rows more in all, so that no task gets a whole hot key."""
+    hot = F.broadcast(hot_keys(big, keys) if hot is None else hot)
+    salt = F.when(F.col("_copies").isNotNull(), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.col("_copies")).cast("int")).otherwise(0)
+    dealt = big.join(hot, keys, "left").withColumn("_salt", salt).drop("_copies")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))
+    return dealt.join(small.join(hot, keys, "left").withColumn("_salt", copies).drop("_copies"), [*keys, "_salt"], how).drop("_salt")

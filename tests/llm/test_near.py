@@ -1,7 +1,10 @@
 import random
 import re
 
+import pytest
+
 from factlane.llm import near as N
+from factlane.llm import storage as S
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -45,6 +48,30 @@ def rows(df):
 def test_band_plan():
     bands, rows = N.band_plan(0.8, 0.9999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 160
+    assert N.band_plan(1.0, 0.99) == (1, 32)
+    bands, rows = N.band_plan(0.2, 0.9999)
+    assert 1 - (1 - 0.2**rows) ** bands >= 0.9999
+    with pytest.raises(ValueError):
+        N.band_plan(0.01, 0.9999)
+
+
+def test_repeated_rows_of_one_id_bring_one_pair(spark, monkeypatch):
+    """10,000 rows without an id hold two texts: their sets are compared once, whatever the rows."""
+    one, two = " ".join(f"w{k}" for k in range(200)), " ".join(f"w{k}" for k in range(201))
+    d = spark.range(10_000).selectExpr("cast(null as long) as doc_id", f"if(id % 2 = 0, '{one}', '{two}') as text")
+    seen, verified = [], N.verified
+    monkeypatch.setattr(N, "verified", lambda pairs, sets: seen.append((pairs.count(), sets.count())) or verified(pairs, sets))
+    got = N.jaccard_join(d).groupBy("class_id", "n_links", "n_copies").count().collect()
+    assert [tuple(r) for r in got] == [(None, 9999, 5000, 10_000)]
+    assert seen[0] == (1, 2)
+
+
+def test_nothing_is_left_of_the_steps_between(spark):
+    S.clean(spark)
+    d = spark.createDataFrame([(i, f"a b c d e f g h {i // 2}") for i in range(20)], "doc_id long, text string")
+    assert N.jaccard_join(d).count() == 20
+    assert len(S._MADE) <= 2
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("factlane")]
 
 
 def test_fixture_against_brute_force(spark, monkeypatch):
