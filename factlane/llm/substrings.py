@@ -7,16 +7,15 @@ smallest doc_id the smallest of all.  So a window that a third of all documents
 entry per batch, never as a row per document, and no text leaves its batch.
 
 Levels: the first length is half the wanted one (a filter: 40 bits of hash are enough, as a false
-repeat only costs work), then the wanted length, then its doublings.  A window is a candidate at a
-level only if the two windows of the level before that cover it both repeat; the doubling ends at
-``longest`` words or, where that is None, when no candidate is left.  From the wanted length on, windows are
-compared by 96 bits of hash.
+repeat only costs work), then the wanted length, then its doublings.  From the wanted length on, windows are compared by
+96 bits of hash.  A window is a candidate at a level only if all windows of the level before that it covers repeat;
+so after a level what is left of a document are stretches of words, whose hashes are stored for the next level, and no
+text is read again.  The doubling ends at ``longest`` words or, where that is None, when no stretch is left.
 
 Removed are the words covered by a window of ``size`` words that also starts in a document with a
-smaller doc_id, judged on the input.  Longer windows never cover more, so a query for removals alone
-may stop at ``longest=size``.
+smaller doc_id, judged on the input.
 
-A null text has no words.  A null doc_id counts as larger than any other.  Rows that repeat a doc_id are
+Texts of any length are judged whole.  A null text has no words.  A null doc_id counts as larger than any other.  Rows that repeat a doc_id are
 judged like other documents, and never remove each other.  Other columns are carried along.
 """
 
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .storage import partitions, stored, stored_buckets
+from .storage import partitions, plan_bytes, release, stored, stored_buckets
 
 SIZE = 13
 _ADDED = ("n_words", "n_removed", "kept", "longest_repeat")
@@ -41,17 +40,16 @@ ENTRIES = "bucket int, batch string, level int, n int, low bigint, base bigint,
 REPLIES = "batch string, level int, bucket int, n int, again binary, later binary"
 _ENTRIES = pa.schema([("bucket", pa.int32()), ("batch", pa.string()), ("level", pa.int32()), ("n", pa.int32()), ("low", pa.int64()),
                       ("base", pa.int64()), ("keys", pa.binary()), ("checks", pa.binary()), ("ids", pa.binary()), ("local", pa.binary())])
+STRETCHES = "batch string, reached array<int>, docs array<int>, ids array<bigint>, sizes array<int>, hashes binary"
+_STRETCHES = pa.schema([("batch", pa.string()), ("reached", pa.list_(pa.int32())), ("docs", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64())),
+                        ("sizes", pa.list_(pa.int32())), ("hashes", pa.binary())])
 _REPLIES = pa.schema([("batch", pa.string()), ("level", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()),
                       ("again", pa.binary()), ("later", pa.binary())])
 
 
-def lengths(size: int) -> Iterator[int]:
-    """The window lengths level by level: half of size, size, twice size, ..."""
-    if size > 3:
-        yield (size + 1) // 2
-    while True:
-        yield size
-        size *= 2
+def lengths(size: int) -> list[int]:
+    """The window lengths of the levels that read text: half of size (where that tells something), and size."""
+    return [(size + 1) // 2, size] if size > 3 else [size]
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -157,7 +155,7 @@ def _matches(rows: list[dict]) -> Iterator[dict]:
 
 
 class Batch:
-    """One packed batch: its words and, level by level, the windows that are still candidates."""
+    """One packed batch: its words, and the windows of the levels that read text."""
 
     def __init__(self, ids: np.ndarray, texts: pa.Array, size: int):
         self.found = W.find(texts)
@@ -224,34 +222,127 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray,
             yield batch.column("batch")[i].as_py(), batch.column("ids")[i].values.to_numpy(zero_copy_only=False), batch.column("texts")[i].values, rest, replies
 
 
-def dedup_substrings(docs: DataFrame, size: int = SIZE, longest: int | None = None, batch_bytes: int = W.PIECE) -> DataFrame:
+def stretches(again: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, size) of the longest stretches of words of one document in which every window of ``length`` repeats, where they
+    hold one of twice the length; again: for each word whether the window that starts there repeats."""
+    at = np.flatnonzero(again)
+    if not len(at):
+        return at, at
+    cut = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (doc[at[1:]] != doc[at[:-1]])))
+    first, size = at[cut], at[np.append(cut[1:], len(at)) - 1] - at[cut] + length
+    return first[size >= 2 * length], size[size >= 2 * length]
+
+
+def _stretch_row(name: str, again: np.ndarray, doc: np.ndarray, ids: np.ndarray, hashes: np.ndarray, length: int) -> dict | None:
+    """again, doc and hashes: of each word; ids: of each document."""
+    first, size = stretches(again, doc, length)
+    reached = np.unique(doc[again])
+    if not len(reached):
+        return None
+    begin = np.append(0, np.cumsum(size))
+    place = np.repeat(first - begin[:-1], size) + np.arange(begin[-1])
+    return {"batch": name, "reached": reached.tolist(), "docs": doc[first].tolist(), "ids": ids[doc[first]].tolist(), "sizes": size.tolist(), "hashes": hashes[place].tobytes()}
+
+
+def _from_text(size: int):
+    """The stretches that the level of ``size`` leaves of each batch."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, ids, texts, _, replies in _rows(batches):
+            batch = Batch(ids, texts, size)
+            windows, _, _ = batch.level(len(lengths(size)) - 1, replies)
+            again = np.zeros(len(batch.hash), bool)
+            again[windows.starts[batch.answer(windows, replies.get(len(lengths(size)) - 1, []), "again")[windows.of]]] = True
+            if row := _stretch_row(name, again, batch.found.doc_of(), ids, batch.hash, size):
+                yield pa.RecordBatch.from_pylist([row], schema=_STRETCHES)
+
+    return cut
+
+
+def _windows(row: dict, length: int) -> tuple[Windows, np.ndarray, np.ndarray]:
+    """The windows of a batch's stretches, the stretches' word hashes, and the place in docs and ids of each word."""
+    hashes = np.frombuffer(row["hashes"], np.uint64)
+    sizes = np.array(row["sizes"], np.int64)
+    starts = W.window_starts(np.append(0, np.cumsum(sizes)), length)
+    part = np.repeat(np.arange(len(sizes)), sizes)
+    checks = W.windows(hashes, length, 1)[starts] >> np.uint64(32)
+    return Windows(starts, W.windows(hashes, length)[starts], checks, np.array(row["ids"], np.int64)[part][starts]), hashes, part
+
+
+def _from_stretches(length: int):
+    """The stretches that the level of ``length`` leaves of those it looked at."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                windows, hashes, part = _windows(row, length)
+                again = np.zeros(len(hashes), bool)
+                again[windows.starts[Batch.answer(windows, row["replies"] or [], "again")[windows.of]]] = True
+                # stretches of one document never touch, but may follow each other here: told apart by their number
+                if made := _stretch_row(row["batch"], again, part, np.array(row["ids"], np.int64), hashes, length):
+                    docs = np.array(row["docs"])
+                    made |= {"reached": np.unique(docs[made["reached"]]).tolist(), "docs": docs[made["docs"]].tolist()}
+                    yield pa.RecordBatch.from_pylist([made], schema=_STRETCHES)
+
+    return cut
+
+
+def _stretch_sender(length: int, level: int, n_buckets: int):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                rows = list(_windows(row, length)[0].entries(row["batch"], level, n_buckets, 64))
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_ENTRIES)
+
+    return send
+
+
+def dedup_substrings(docs: DataFrame, size: int = SIZE, longest: int | None = None, batch_bytes: int | None = None) -> DataFrame:
     """docs' columns, then n_words, n_removed, kept (the kept words, joined by one space) and longest_repeat
-    (words of the longest window length of the levels at which a window of the document repeats; 0: none), which
-    replace columns of these names.  batch_bytes: text in a batch; on large executors, more makes fewer, fuller rows."""
+    (words of the longest window length, of size and its doublings, at which a window of the document repeats; 0: none), which
+    replace columns of these names.  batch_bytes: text in a batch; where it is None, more for larger corpora."""
     spark = docs.sparkSession
     n = partitions(spark)
     names = [c for c in docs.columns if c not in ("doc_id", "text", *_ADDED)]
     others = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.struct(F.lit(0).alias("none"), *others).alias("rest"))
+    batch_bytes = batch_bytes or W.batch_size(plan_bytes(rows))
     rest = rows.schema["rest"].dataType
     packed = T.StructType([T.StructField("batch", T.StringType()), T.StructField("ids", T.ArrayType(T.LongType())),
                            T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("rest", T.ArrayType(rest))])
     table = stored_buckets(rows.mapInArrow(lambda b: _pack(b, batch_bytes), packed), "substrings", "batch", n)
-    n_buckets = W.bucket_count(n, table.count(), batch_bytes)
+    batches = table.count()
+    n_buckets = W.bucket_count(n, batches, batch_bytes)
     replies: DataFrame | None = None
-    for k, length in enumerate(lengths(size)):
-        if longest is not None and length > max(longest, size):
-            break
+    for k in range(len(lengths(size))):
         sent = _with(table.select("batch", "ids", "texts"), replies).mapInArrow(_sender(size, k, n_buckets), ENTRIES)
         level = stored(sent.groupBy("bucket").applyInArrow(_answer, REPLIES), f"substrings-level{k}")
         replies = level if replies is None else replies.unionByName(level)
-        if longest is None and length >= size and level.isEmpty():
+    length, level, reached = size, len(lengths(size)), []
+    left = stored(_with(table.select("batch", "ids", "texts"), replies).mapInArrow(_from_text(size), STRETCHES), "substrings-stretches")
+    while True:
+        reached.append(left.select("batch", F.lit(length).alias("length"), "reached"))
+        words = left.agg(F.sum(F.length("hashes") / 8)).first()[0] or 0
+        length *= 2
+        if not words or (longest is not None and length > longest):
             break
+        some = max(n, min(n_buckets, int(words // (batches * W.ROW_ENTRIES))))
+        looked = left.where(F.size("docs") > 0)
+        told = stored(looked.mapInArrow(_stretch_sender(length, level, some), ENTRIES).groupBy("bucket").applyInArrow(_answer, REPLIES), "substrings-doubled")
+        mine = told.groupBy("batch").agg(F.collect_list(F.struct("bucket", "n", "again")).alias("replies"))
+        left = stored(looked.join(mine.hint("shuffle_hash"), "batch").mapInArrow(_from_stretches(length), STRETCHES), "substrings-stretches")
+        release(told)
+        level += 1
+    whole = reached[0]
+    for part in reached[1:]:
+        whole = whole.unionByName(part)
+    whole = whole.groupBy("batch").agg(F.collect_list(F.struct("length", "reached")).alias("reached"))
     out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("rest", rest),
                         T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
                         T.StructField("kept", T.StringType()), T.StructField("longest_repeat", T.LongType())])
-    done = _with(table, replies).mapInArrow(_finisher(size), out)
+    done = _with(table, replies).join(whole.hint("shuffle_hash"), "batch", "left").mapInArrow(_finisher(size), out)
     held = [F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(f"c{names.index(c)}").alias(c) for c in docs.columns if c not in _ADDED]
     return done.select(*held, *_ADDED)
 
@@ -280,40 +371,37 @@ def _answer(table: pa.Table) -> pa.Table:
 
 
 def _finisher(size: int):
+    last = len(lengths(size)) - 1
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, texts, rest, replies in _rows(batches):
-            batch = Batch(ids, texts, size)
-            first, total = batch.found.first, len(batch.hash)
-            change = np.zeros(total + 1, np.int64)
-            reach = np.zeros(len(ids), np.int64)
-            for k, length in enumerate(lengths(size)):
-                if k not in replies:
-                    break
-                windows, _, _ = batch.level(k, replies)
-                if length < size:
-                    continue
-                again = batch.answer(windows, replies[k], "again")[windows.of]
-                doc = np.searchsorted(first, windows.starts[again], "right") - 1
-                reach[doc] = length
-                if length == size:
-                    later = batch.answer(windows, replies[k], "later")[windows.of]
+        for part in batches:
+            for i, (_, ids, texts, rest, replies) in enumerate(_rows(iter([part]))):
+                batch = Batch(ids, texts, size)
+                first, total = batch.found.first, len(batch.hash)
+                change = np.zeros(total + 1, np.int64)
+                if last in replies:
+                    windows, _, _ = batch.level(last, replies)
+                    later = batch.answer(windows, replies[last], "later")[windows.of]
                     covered = windows.starts[later | (windows.window_ids > windows.least[windows.of])]
                     np.add.at(change, covered, 1)
                     np.add.at(change, covered + size, -1)
-            keep = np.cumsum(change)[:total] == 0
-            removed = np.diff(np.append(0, np.cumsum(~keep))[first])
-            kept = []
-            for i, text in enumerate(texts):
-                parts = (text.as_py() or "").encode().split()
-                kept.append(b" ".join(compress(parts, keep[first[i] : first[i + 1]].tolist()) if removed[i] else parts).decode())
-            yield pa.RecordBatch.from_arrays(
-                [W.ids_out(ids), texts, rest, pa.array(np.diff(first)), pa.array(removed), pa.array(kept, pa.string()), pa.array(reach)],
-                names=["doc_id", "text", "rest", "n_words", "n_removed", "kept", "longest_repeat"])
+                reach = np.zeros(len(ids), np.int64)
+                for r in part.column("reached")[i].as_py() or []:
+                    reach[r["reached"]] = np.maximum(reach[r["reached"]], r["length"])
+                keep = np.cumsum(change)[:total] == 0
+                removed = np.diff(np.append(0, np.cumsum(~keep))[first])
+                kept = []
+                for j, text in enumerate(texts):
+                    parts = (text.as_py() or "").encode().split()
+                    kept.append(b" ".join(compress(parts, keep[first[j] : first[j + 1]].tolist()) if removed[j] else parts).decode())
+                yield pa.RecordBatch.from_arrays(
+                    [W.ids_out(ids), texts, rest, pa.array(np.diff(first)), pa.array(removed), pa.array(kept, pa.string()), pa.array(reach)],
+                    names=["doc_id", "text", "rest", "n_words", "n_removed", "kept", "longest_repeat"])
 
     return finish
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_substrings(docs, SIZE, longest=SIZE).select(
-        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return dedup_substrings(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), "longest_repeat")
