@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, media, mixture, near, quality, scoring, substrings, tokens, urls
+from . import decontaminate, language, media, mixture, near, quality, scoring, sql, substrings, tokens, urls
 
 QUERIES = {
     "op1_media_columns": media.op1,
@@ -17,4 +17,4 @@ QUERIES = {
     "op10_quality_classifier": quality.op10,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = sql.SQL
