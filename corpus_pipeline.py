@@ -1,4 +1,9 @@
-"""A corpus pipeline over ``documents``: each stage works on all that the one before it kept."""
+"""A corpus pipeline over ``documents``: each stage works on all that the one before it kept.
+
+Rows are the columns COLUMNS of documents; what else a table has is left out by the first stage.  A null or empty text
+has no language and goes there; texts of any length are judged whole; rows equal in doc_id and text are copies, of which
+one stays; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -26,7 +31,7 @@ def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has; a document goes where nothing is left."""
-    done = substrings.dedup_substrings(docs.select(*COLUMNS), longest=substrings.SIZE)
+    done = substrings.dedup_substrings(docs.select(*COLUMNS))
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     left = done.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     changed = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
