@@ -17,7 +17,7 @@ from . import algebra as A
 
 ROOT = "loader string, root_ordinal int, container_id string, prefix binary"
 POLICIES = ("single_class", "plain_jar", "explicit_classpath")
-STATIC, PRIVATE, INTERFACE, ABSTRACT = 0x0008, 0x0002, 0x0200, 0x0400
+PUBLIC, PRIVATE, PROTECTED, STATIC, INTERFACE, ABSTRACT = 0x0001, 0x0002, 0x0004, 0x0008, 0x0200, 0x0400
 
 
 def environment(u: DataFrame, policy: str, containers: list[str] | None = None, loader: str = "app") -> DataFrame:
@@ -56,7 +56,7 @@ def definitions(u: DataFrame, roots: DataFrame, names: DataFrame) -> DataFrame:
     """
     wanted = names.select("name").distinct()
     entry = u.where("is_class_candidate").select("container_id", "raw_name", "ordinal", "def_key", "this_class")
-    rooted = entry.join(F.broadcast(roots), "container_id")  # the request's own roots
+    rooted = entry.join(roots, "container_id")
     named = rooted.withColumn("name", F.expr("substring(raw_name, length(prefix) + 1, length(raw_name) - length(prefix) - 6)")).where(
         F.expr("raw_name = concat(prefix, name, cast('.class' as binary))"))
     held = named.join(wanted, "name")
@@ -98,30 +98,68 @@ def supertypes(u: DataFrame, roots: DataFrame, depth: int | None = 8, edges: Dat
     return found
 
 
-def resolve_members(u: DataFrame, roots: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Field and method lookup: wanted (kind, owner, name, descriptor) to the nearest declaration on the owner's supertypes.
+def _most_specific(hits: DataFrame, up: DataFrame, keys: list[str]) -> DataFrame:
+    """The hits without those whose interface is above another hit's of the same key."""
+    above = up.where("depth > 0").select(F.col("root").alias("node"), F.col("node").alias("beaten"))
+    beaten = hits.select(*keys, "node").join(above, "node").select(*keys, F.col("beaten").alias("node")).distinct()
+    return hits.join(beaten, [*keys, "node"], "left_anti")
+
 
-    Classes come before interfaces at every depth; two interfaces that both have the method are ambiguous unless one is
-    below the other.  What the owner's search could not finish is incomplete, never missing.
+def resolve_members(u: DataFrame, roots: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Field and method lookup: wanted (kind, owner, name, descriptor[, caller]) to declarations on the owner's supertypes.
+
+    Methods: the nearest class of the owner's chain, then the maximally specific of its interfaces' methods, static and private
+    ones left out: the one that is not abstract, or the only one; several defaults, or several abstract methods alone, are
+    ambiguous.  Fields: class by class along the chain, each before the interfaces it names.  Equal declarations of one class
+    are ambiguous.  What the owner's search could not finish is incomplete, never missing.  With a caller (the internal
+    name of a class) a declaration that it may not use is inaccessible: private outside the class and those named
+    within it, package-private outside the package, protected outside both the package and the caller's supertypes.
     """
-    keys = ["kind", "owner", "name", "descriptor"]
+    base = ["kind", "owner", "name", "descriptor"]
+    keys = [*base, "caller"] if "caller" in wanted.columns else base
     asked = wanted.select(*keys).distinct()
     owners = definitions(u, roots, asked.select(F.col("owner").alias("name"))).select(F.col("name").alias("owner"), F.col("state").alias("owner_state"), F.col("def_key").alias("root"))
     edges = hierarchy(u, roots)
     up = supertypes(u, roots, None, edges)
-    headers = S.classes(u).select(F.col("def_key").alias("node"), (F.col("flags").bitwiseAND(INTERFACE) != 0).alias("interface"))
+    headers = S.classes(u).select(F.col("def_key").alias("node"), "this_class", (F.col("flags").bitwiseAND(INTERFACE) != 0).alias("interface"))
     declared = S.members(u).select(F.col("def_key").alias("node"), "kind", "name", "descriptor", F.col("flags").alias("member_flags"), F.col("index").alias("member_index"))
-    hits = (asked.join(owners.where("owner_state = 'resolved'"), "owner").join(up, "root").join(headers, "node").join(declared, ["node", "kind", "name", "descriptor"])
-            .where(~(F.col("interface") & (F.col("kind") == "method") & (F.col("member_flags").bitwiseAND(STATIC | PRIVATE) != 0) & (F.col("depth") > 0))))
-    rank = F.struct(F.col("interface").cast("int"), "depth")
-    w = Window.partitionBy(*keys)
-    best = hits.withColumn("rank", rank).withColumn("best", F.min("rank").over(w)).where(F.col("rank") == F.col("best"))
-    best = best.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "member_index", "member_flags")).alias("hit"))
+    told = asked.select(*base).distinct().join(owners.where("owner_state = 'resolved'"), "owner").join(up, "root").join(headers, "node")
+    hits = settled(told.join(declared, ["node", "kind", "name", "descriptor"]).withColumn("own", ~F.col("interface") | (F.col("depth") == 0)), "member-hits")
+
+    nearest = Window.partitionBy(*base)
+    methods = hits.where("kind = 'method'").where(F.col("own") | (F.col("member_flags").bitwiseAND(STATIC | PRIVATE) == 0))
+    of_class = methods.where("own").withColumn("least", F.min("depth").over(nearest)).where("depth = least").drop("least")
+    above = _most_specific(methods.where("not own").join(of_class, base, "left_anti"), up, base)
+    defaults = above.where(F.col("member_flags").bitwiseAND(ABSTRACT) == 0)
+    chosen = defaults.unionByName(above.join(defaults, base, "left_anti"))
+
+    # fields: an interface counts with the first class of the chain that names it, directly or through other interfaces
+    named = supertypes(u, roots, None, edges.where("kind = 'implements'")).where("depth > 0").select(F.col("root").alias("via"), "node")
+    chain = told.where("kind = 'field'").where(~F.col("interface") | (F.col("depth") == 0)).select(*base, F.col("node").alias("via"), F.col("depth").alias("place"))
+    fields = hits.where("kind = 'field'")
+    of_chain = fields.where("own").withColumn("place", F.col("depth") * 2)
+    of_named = fields.where("not own").join(chain.join(named, "via").groupBy(*base, "node").agg((F.min("place") * 2 + 1).alias("place")), [*base, "node"])
+    first = of_chain.unionByName(of_named).withColumn("least", F.min("place").over(nearest)).where("place = least").drop("least", "place")
+
+    best = of_class.unionByName(chosen).unionByName(_most_specific(first, up, base))
+    best = best.groupBy(*base).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "member_index", "member_flags", "this_class")).alias("hit"))
     open_above = (up.join(edges.where("parent is null").select(F.col("child").alias("node")).distinct(), "node").select("root").distinct().withColumn("open", F.lit(True)))
-    told = asked.join(owners, "owner", "left").join(best, keys, "left").join(open_above, "root", "left")
-    state = (F.when(F.col("owner_state") != "resolved", F.col("owner_state")).when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "ambiguous")
-             .when(F.col("open"), "incomplete").otherwise("missing"))
-    return told.select(*keys, state.alias("state"), "hit.node", "hit.member_index").withColumnRenamed("node", "declared_in").distinct()
+    out = asked.join(owners, "owner", "left").join(best, base, "left").join(open_above, "root", "left")
+    usable = F.lit(True)
+    if "caller" in keys:
+        callers = definitions(u, roots, asked.select(F.col("caller").alias("name"))).where("state = 'resolved'").select(F.col("name").alias("caller"), F.col("def_key").alias("caller_key"))
+        may = up.select(F.col("root").alias("caller_key"), F.col("node").alias("inherited")).join(callers, "caller_key").select("caller", "inherited")
+        out = out.join(may, (out["caller"] == may["caller"]) & (F.col("hit.node") == F.col("inherited")), "left").drop(may["caller"])
+        flag = lambda x: F.col("hit.member_flags").bitwiseAND(x) != 0
+        text = lambda c: F.decode(c, "UTF-8")
+        package = lambda c: F.regexp_extract(text(c), "^(.*)/[^/]*$", 1)
+        outer = lambda c: F.regexp_extract(text(c), r"^([^$]*)", 1)
+        near = package(F.col("caller")) == package(F.col("hit.this_class"))
+        usable = F.when(flag(PUBLIC), True).when(flag(PRIVATE), outer(F.col("caller")) == outer(F.col("hit.this_class"))).when(
+            flag(PROTECTED), near | F.col("inherited").isNotNull()).otherwise(near)
+    state = (F.when(F.col("owner_state") != "resolved", F.col("owner_state")).when((F.col("n") == 1) & ~usable, "inaccessible").when(F.col("n") == 1, "resolved")
+             .when(F.col("n") > 1, "ambiguous").when(F.col("open"), "incomplete").otherwise("missing"))
+    return out.select(*keys, state.alias("state"), "hit.node", "hit.member_index").withColumnRenamed("node", "declared_in").distinct()
 
 
 def declaration_references(u: DataFrame, roots: DataFrame, kind: str, name: bytes, descriptor: bytes, declared_in: str | None = None) -> DataFrame:
@@ -133,11 +171,24 @@ def declaration_references(u: DataFrame, roots: DataFrame, kind: str, name: byte
     return out if declared_in is None else out.where((F.col("declared_in") == declared_in) | (F.col("state") != "resolved"))
 
 
+def subtypes(u: DataFrame, roots: DataFrame, def_key: str, depth: int | None = None) -> DataFrame:
+    """(def_key, depth): the definitions strictly below one, level by level from it downwards."""
+    down = hierarchy(u, roots).where("parent is not null").select(F.col("parent").alias("node"), "child").distinct()
+    spark = u.sparkSession
+    found = level = settled(spark.createDataFrame([(def_key, 0)], "node string, depth int"), "subtypes")
+    k = 0
+    while (depth is None or k < depth) and not level.isEmpty():
+        k += 1
+        step = level.join(down, "node").select(F.col("child").alias("node"), F.lit(k).alias("depth")).distinct()
+        level = settled(step.join(found, "node", "left_anti"), "subtypes")
+        found = found.unionByName(level)
+    return found.where("depth > 0").select(F.col("node").alias("def_key"), "depth")
+
+
 def dispatch_candidates(u: DataFrame, roots: DataFrame, def_key: str, name: bytes, descriptor: bytes, depth: int | None = None) -> DataFrame:
     """Methods of the same shape strictly below a definition; the world stays open, so never a proof of all."""
-    below = supertypes(u, roots, depth).where((F.col("node") == def_key) & (F.col("depth") > 0)).select(F.col("root").alias("def_key"), "depth")
     shape = (F.col("kind") == "method") & (F.col("name") == F.lit(name)) & (F.col("descriptor") == F.lit(descriptor))
-    return below.join(S.members(u).where(shape), "def_key").withColumn("open_world", F.lit(True))
+    return subtypes(u, roots, def_key, depth).join(S.members(u).where(shape), "def_key").withColumn("open_world", F.lit(True))
 
 
 #: Calls whose string or class argument names a target: (owner, name, what the constant names).

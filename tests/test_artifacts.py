@@ -514,3 +514,45 @@ def test_chain_of_ten_classes(spark):
     other = files(spark, d=A.archive([(f"d/K{i}.class", cls(f"d/K{i}", f"d/K{i - 1}" if i else None, methods_=() if i else ("far",))) for i in range(10)]))
     wanted = spark.createDataFrame([("method", b"d/K9", b"far", b"()V")], "kind string, owner binary, name binary, descriptor binary")
     assert [r.state for r in resolve.resolve_members(other, resolve.environment(other, "plain_jar"), wanted).collect()] == ["resolved"]
+
+
+def test_interfaces_above_and_beside_each_other(spark):
+    """Maximally specific methods: one below the other, unrelated defaults, an abstract one beside a default, abstract ones alone."""
+    def interface(name, above=(), flags=0x1, code=b"\xb1"):
+        a = A.Assembler(name, "i/Object", above, flags=0x601)
+        if flags is not None:
+            a.method("m", "()V", code, flags=flags)
+        return a.build()
+
+    named = {"i/Object": cls("i/Object", None), "i/I": interface("i/I"), "i/J": interface("i/J", ("i/I",)), "i/L": interface("i/L"), "i/K": interface("i/K", ("i/L",), None),
+             "i/Abs": interface("i/Abs", (), 0x401, None), "i/Abs2": interface("i/Abs2", (), 0x401, None), "i/Stat": interface("i/Stat", (), 0x9),
+             "i/A": cls("i/A", "i/Object", ("i/I", "i/J")), "i/B": cls("i/B", "i/Object", ("i/I", "i/K")), "i/C": cls("i/C", "i/Object", ("i/I", "i/Abs")),
+             "i/D": cls("i/D", "i/Object", ("i/Abs", "i/Abs2")), "i/E": cls("i/E", "i/Object", ("i/Abs", "i/Stat")), "i/F": cls("i/F", "i/B", methods_=("m",)), "i/G": cls("i/G", "i/F")}
+    u = files(spark, j=A.archive([(f"{n}.class", data) for n, data in named.items()]))
+    roots = resolve.environment(u, "plain_jar")
+    name = {r.def_key: r.this_class.decode() for r in S.classes(u).collect()}
+    owners = "ABCDEFG"
+    wanted = spark.createDataFrame([("method", f"i/{o}".encode(), b"m", b"()V") for o in owners], "kind string, owner binary, name binary, descriptor binary")
+    got = {r.owner.decode(): (r.state, name[r.declared_in]) for r in resolve.resolve_members(u, roots, wanted).collect()}
+    assert {o: got[f"i/{o}"] for o in "ACEFG"} == {"A": ("resolved", "i/J"), "C": ("resolved", "i/I"), "E": ("resolved", "i/Abs"), "F": ("resolved", "i/F"), "G": ("resolved", "i/F")}
+    assert got["i/B"][0] == got["i/D"][0] == "ambiguous"
+
+
+def test_fields_and_access(spark):
+    def fielded(name, above, flags, interfaces=(), kind=0x21):
+        a = A.Assembler(name, above, interfaces, flags=kind)
+        if flags is not None:
+            a.field("f", "I", flags)
+        return a.build()
+
+    named = {"p/Object": cls("p/Object", None), "p/I": fielded("p/I", "p/Object", 0x19, (), 0x601), "p/Base": fielded("p/Base", "p/Object", 0x4), "p/Sub": fielded("p/Sub", "p/Base", None),
+             "p/Both": fielded("p/Both", "p/Base", None, ("p/I",)), "p/Deep": fielded("p/Deep", "p/Both", None), "p/Priv": fielded("p/Priv", "p/Object", 0x2), "p/Pack": fielded("p/Pack", "p/Object", 0x0),
+             "q/Sub": fielded("q/Sub", "p/Base", None), "q/Far": cls("q/Far", "p/Object")}
+    u = files(spark, j=A.archive([(f"{n}.class", data) for n, data in named.items()]))
+    roots = resolve.environment(u, "plain_jar")
+    name = {r.def_key: r.this_class.decode() for r in S.classes(u).collect()}
+    cases = [("p/Sub", "p/Pack", "resolved", "p/Base"), ("p/Deep", "q/Far", "resolved", "p/I"), ("p/Sub", "q/Far", "inaccessible", "p/Base"), ("p/Sub", "q/Sub", "resolved", "p/Base"),
+             ("p/Priv", "p/Priv$1", "resolved", "p/Priv"), ("p/Priv", "p/Pack", "inaccessible", "p/Priv"), ("p/Pack", "p/Priv", "resolved", "p/Pack"), ("p/Pack", "q/Far", "inaccessible", "p/Pack")]
+    wanted = spark.createDataFrame([("field", o.encode(), b"f", b"I", c.encode()) for o, c, _, _ in cases], "kind string, owner binary, name binary, descriptor binary, caller binary")
+    got = {(r.owner.decode(), r.caller.decode(), r.state, name[r.declared_in]) for r in resolve.resolve_members(u, roots, wanted).collect()}
+    assert got == set(cases)
