@@ -268,10 +268,9 @@ def _degrees(threshold: float):
     return degrees
 
 
-def block_pairs(rows: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
-    """rows (key, node, ...) once for each pair (i, j) of the key's blocks that their own block is part of."""
-    dealt = (hot_join(rows, sizes, [key]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+def block_pairs(rows: DataFrame) -> DataFrame:
+    """rows (key, node, n, ...; n: the rows of the key) once for each pair (i, j) of the key's blocks that their own block is part of."""
+    dealt = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return (dealt.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
             .drop("other", "blocks", "n"))
@@ -280,7 +279,7 @@ def block_pairs(rows: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each node's component."""
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "near-links")
-    hubs = stored(hot_keys(both, ["b"]), "near-hubs")
+    hubs = hot_keys(both, ["b"])
     table = stored(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "near-labels")
     while True:
         labels = table.select("node", "label")
@@ -291,7 +290,7 @@ def components(links: DataFrame) -> DataFrame:
         release(table, least)
         table = new
         if new.where(F.col("label") != F.col("old")).isEmpty():
-            release(both, hubs)
+            release(both)
             return new
 
 
@@ -326,18 +325,19 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
                                       F.min(F.when(F.col("off") & (F.col("d") <= 2 * far + 1e-9), F.col("d"))).alias("reach")).where("odd > 0"))
     left = stored(hot_join(told, odd, ["bucket"]).where(F.col("off") | (F.col("d") >= F.col("reach") - far - 1e-9)).select("bucket", "node"), "near-left")
     sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    few = left.join(sizes.where(F.col("n") <= SMALL).select("bucket"), "bucket")
+    sized = stored(hot_join(left, sizes, ["bucket"]), "near-sized")
+    few = sized.where(F.col("n") <= SMALL).drop("n")
     pairs = stored(few.withColumnRenamed("node", "a").join(few.withColumnRenamed("node", "b"), "bucket").where("a < b").select("a", "b").distinct()
                    .join(stars.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs")
     links = links.unionByName(verified(pairs, sets).where(F.col("sim") >= threshold - 1e-12))
-    many = block_pairs(left, "bucket", sizes.where(F.col("n") > SMALL)).join(sets, "node")
+    many = block_pairs(sized.where(F.col("n") > SMALL)).join(sets, "node")
     links = links.unionByName(by_group(many, ["bucket", "i", "j"], _forest(threshold), "a binary, b binary, sim double", ["a", "b", "sim"]))
 
     table = components(links)
-    release(members, compared, stars, left, pairs)
+    release(members, compared, stars, left, sized, pairs)
     labels = table.select("node", "label")
     inside = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    grouped = block_pairs(labels.join(classes.select("node", "copies"), "node"), "label", inside).join(sets, "node")
+    grouped = block_pairs(hot_join(labels, inside, ["label"]).join(classes.select("node", "copies"), "node")).join(sets, "node")
     degrees = (by_group(grouped, ["label", "i", "j"], _degrees(threshold), "node binary, links bigint", ["node", "links"])
                .groupBy("node").agg(F.sum("links").alias("links")))
     named = labels.join(classes.select("node", "doc"), "node")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 import weakref
@@ -96,17 +97,24 @@ def plan_bytes(df: DataFrame) -> int:
 HOT = 1000
 
 
-def hot_keys(big: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, _copies) of the hot keys of big: the tasks that each is to be split into.  At most HOT rows."""
+def hot_keys(big: DataFrame, keys: list[str]) -> list[tuple[int, int]]:
+    """(hash, copies) of the hot keys of big: the tasks that each is to be split into, a power of two.  At most HOT entries."""
     most = max(1.0, big.count() / HOT)
-    return big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > most).select(*keys, F.ceil(F.col("_rows") / most).cast("int").alias("_copies"))
+    hot = big.groupBy(F.xxhash64(*keys).alias("hash")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    return [(r["hash"], 1 << math.ceil(math.log2(r["n"] / most))) for r in hot.collect()]
 
 
-def hot_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+def hot_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", hot: list[tuple[int, int]] | None = None) -> DataFrame:
     """big joined with small, which has one row a key; how is inner or left.  Hot keys of big are salted by a hash of their
-    rows and what small has for them is copied, 2 * HOT rows more in all, so that no task gets a whole hot key."""
-    hot = F.broadcast(hot_keys(big, keys) if hot is None else hot)
-    salt = F.when(F.col("_copies").isNotNull(), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.col("_copies")).cast("int")).otherwise(0)
-    dealt = big.join(hot, keys, "left").withColumn("_salt", salt).drop("_copies")
-    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))
-    return dealt.join(small.join(hot, keys, "left").withColumn("_salt", copies).drop("_copies"), [*keys, "_salt"], how).drop("_salt")
+    rows and what small has for them is copied, 4 * HOT rows more in all at most, so that no task gets a whole hot key."""
+    hot = hot_keys(big, keys) if hot is None else hot
+    if not hot:
+        return big.join(small, keys, how)
+    sizes: dict[int, list[int]] = {}
+    for key, n in hot:
+        sizes.setdefault(n, []).append(key)
+    copies = F.lit(1)
+    for n, some in sizes.items():
+        copies = F.when(F.xxhash64(*keys).isin(some), n).otherwise(copies)
+    dealt = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), copies).cast("int"))
+    return dealt.join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1))), [*keys, "_salt"], how).drop("_salt")
