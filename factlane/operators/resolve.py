@@ -201,13 +201,13 @@ def reflection_patterns(u: DataFrame) -> DataFrame:
     """Reflective calls with the constant right before them: inferred where it is one, else unknown with a reason."""
     spark = u.sparkSession
     known = spark.createDataFrame([(a.encode(), b.encode(), c) for a, b, c in REFLECTION], "owner binary, name binary, names string")
-    calls = S.xrefs(u).where("consumer = 'invocation'").join(F.broadcast(known), ["owner", "name"]).select("def_key", "this_class", "member_index", "bci", "owner", "name", "names")
+    calls = S.xrefs(u).where("consumer = 'invocation'").join(F.broadcast(known), ["owner", "name"]).select("path", "def_key", "this_class", "member_index", "bci", "owner", "name", "names")
     w = Window.partitionBy("def_key", "member_index").orderBy("bci")
     before = S.instructions(u).select("def_key", "member_index", "bci", F.lag("opcode").over(w).alias("source_opcode"), F.lag("cp_index").over(w).alias("source"))
     constants = S.pool(u).where("lit_kind = 'string' or tag = 'class'").select("def_key", F.col("cp_index").alias("source"), F.coalesce("lit_utf", "owner").alias("constant"))
     told = calls.join(before, ["def_key", "member_index", "bci"], "left").join(constants, ["def_key", "source"], "left")
     loads = F.col("source_opcode").isin(18, 19) & F.col("constant").isNotNull()
-    return told.select("def_key", "this_class", "member_index", "bci", "owner", "name", "names", F.when(loads, F.col("constant")).alias("target"),
+    return told.select("path", "def_key", "this_class", "member_index", "bci", "owner", "name", "names", F.when(loads, F.col("constant")).alias("target"),
                        F.when(loads, "pattern_inferred_target").otherwise("unknown").alias("state"),
                        F.when(loads, "constant_operand").when(F.col("source_opcode").isNull(), "no_source").otherwise("operand_not_constant").alias("reason"))
 

@@ -271,7 +271,7 @@ def containers(u: DataFrame) -> DataFrame:
 
 def entries(u: DataFrame) -> DataFrame:
     return u.where("container_id is not null and ordinal >= 0").select(
-        "snapshot_id", "container_id", "depth", "ordinal", "raw_name", "name", "method", "is_dir", "size", "crc", "is_class_candidate", "read_status", "stop_code", "variant_version")
+        "snapshot_id", "path", "container_id", "depth", "ordinal", "raw_name", "name", "method", "is_dir", "size", "crc", "is_class_candidate", "read_status", "stop_code", "variant_version")
 
 
 def classes(u: DataFrame) -> DataFrame:
@@ -315,7 +315,7 @@ def unit_status(u: DataFrame) -> DataFrame:
     """One row a unit: complete, partial (with the first code) or damaged; feeds coverage."""
     code = F.coalesce("stop_code", "class_code", F.try_element_at("problems", F.lit(1)))
     state = F.when(F.col("read_status") != "read", F.col("read_status")).when(code.isNotNull(), F.coalesce(F.nullif("class_state", F.lit("complete")), F.lit("partial"))).otherwise("complete")
-    return u.select("snapshot_id", "container_id", "depth", "ordinal", "name", "is_class_candidate", state.alias("state"), code.alias("code"))
+    return u.select("snapshot_id", "path", "container_id", "depth", "ordinal", "name", "is_class_candidate", state.alias("state"), code.alias("code"))
 
 
 def multi_release(u: DataFrame, release: int) -> DataFrame:
