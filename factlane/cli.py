@@ -61,7 +61,7 @@ def run(spark: SparkSession, args, out) -> int:
         if not value.isdigit():
             raise InvalidInput("bad_limit")
         limits = limits.override(**{name: int(value)})
-    u = S.units(spark, args.path)
+    u = S.units(spark, args.path, limits=limits)
     if args.scope:
         u = u.where(F.col("container_id") == args.scope)
     u = u.persist()

@@ -10,11 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import artifact as S
+from ..sources.store import settled
 
 
 @dataclass(frozen=True)
@@ -61,8 +63,7 @@ def run(u: DataFrame, wanted: list[str], rules: dict[str, Rule] = PLUGINS) -> tu
             continue
         try:
             found = rules[name].find(u).select("path", "subject", "detail").withColumns({"rule": F.lit(name), "rule_version": F.lit(rules[name].version)})
-            found.schema  # noqa: B018  analysed here, so that a broken rule stops alone
-            out, states[name] = out.unionByName(found), "completed"
-        except PySparkException:
+            out, states[name] = out.unionByName(settled(found, f"plugin-{name}")), "completed"  # run here, so that a broken rule stops alone
+        except (PySparkException, Py4JError):
             states[name] = "stopped"
     return out, states

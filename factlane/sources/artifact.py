@@ -7,16 +7,23 @@ is the chain of ordinals that leads to it, an entry its ordinal in the container
 bytes at two places are two rows.
 
 Damage never drops rows: an unreadable entry has a read_status and a code, a damaged class keeps what could be read, an
-archive that cannot be listed is one row of its own, and a container below ``depth`` is a row with the code of the limit.
+archive that cannot be listed gives the entries that its local headers still tell and a row with the range that was
+skipped, and a container below ``depth`` is a row with the code of the limit.
+
+Reading is bounded: each file is one operation with a budget of its own, which every entry, inflated byte, class, attribute
+and body is charged to before the work.  Where a charge is refused the walk ends: what came before is the result, and the
+last row is the one that was stopped, with the dimension and the numbers.  Entries that aren't wanted are listed, unread.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import struct as binary
 import zipfile
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +36,7 @@ from ..functions import classfile as C
 from ..functions import modern
 from ..functions.references import References
 from ..functions.schema import struct
+from ..plans.request import Budget, BudgetExceeded, Limits
 
 MEMBER = "kind string, index int, flags int, name binary, descriptor binary, has_code boolean, code_start bigint, code_length bigint, max_stack int, max_locals int, signature_agrees boolean"
 POOL = "cp_index int, tag string, owner binary, name binary, descriptor binary, lit_kind string, lit_bits bigint, lit_utf binary"
@@ -115,11 +123,36 @@ def _pool(f: C.ClassFile) -> list[dict]:
 FACTS = ("members", "pool", "instructions", "handlers", "attributes", "xrefs", "modern")
 
 
-def _class(unit: dict, data: bytes, wanted: tuple[str, ...]) -> None:
+@dataclass
+class Reading:
+    """How one file is read, and what that has used so far."""
+
+    depth: int = DEPTH
+    wanted: tuple[str, ...] | None = FACTS  # None: names alone
+    names: frozenset[bytes] | None = None  # entries to be read; None: all
+    budget: Budget = field(default_factory=Budget)
+    stopped: bool = False
+
+    def reads(self, raw: bytes) -> bool:
+        return self.wanted is not None and (self.names is None or raw in self.names)
+
+    def stop(self, unit: dict, e: BudgetExceeded) -> dict:
+        """The row at which the walk ends."""
+        self.stopped = True
+        return unit | {"read_status": "stopped", "stop_code": "budget_exceeded", "problems": [f"{e.dimension}: {e.consumed} + {e.requested} > {e.limit}"]}
+
+
+def _class(unit: dict, data: bytes, wanted: tuple[str, ...], budget: Budget) -> None:
+    budget.charge("class_bytes", len(data))
+    budget.charge("class_headers", 1)
     f = C.decode(data)
+    budget.charge("attribute_bytes", sum(a.length for a in f.attributes) + sum(a.length for m in f.members for a in m.attributes))
     members, instructions, handlers, attributes = [], [], [], []
     attributes += [{"owner_kind": "class", "owner_index": -1, "name": a.name, "start": a.start, "length": a.length} for a in f.attributes]
     for k, m in enumerate(f.members if {"members", "instructions", "handlers", "attributes"} & {*wanted} else ()):
+        for a in f.find(m.attributes, b"Code") if m.kind == "method" else ():
+            budget.charge("method_bodies", 1)
+            budget.charge("code_bytes", int.from_bytes(data[a.start + 4 : a.start + 8]))
         body = C.code(f, m) if m.kind == "method" else None
         agrees = None
         for a in f.find(m.attributes, b"Signature"):
@@ -161,66 +194,140 @@ def _blank(snapshot: str, path: str, container: str | None, depth: int, ordinal:
                                           "instructions": [], "handlers": [], "attributes": [], "xrefs": [], "resources": [], "modern": [], "problems": []}
 
 
-def _content(unit: dict, data: bytes, wanted: tuple[str, ...]) -> None:
+def _content(unit: dict, data: bytes, reading: Reading) -> None:
     digest = hashlib.sha256(data).hexdigest()
     unit |= {"digest": digest, "length": len(data)}
     if unit["is_class_candidate"]:
         key = f"{unit['snapshot_id']}|{unit['container_id']}|{unit['ordinal']}|{digest}|{unit['variant_version']}"
         unit["def_key"] = hashlib.sha256(key.encode()).hexdigest()
-        _class(unit, data, wanted)
+        _class(unit, data, reading.wanted or (), reading.budget)
     else:
         unit["resources"] = resources(unit["name"], data)
 
 
-def walk(path: str, data: bytes, depth: int = DEPTH, wanted: tuple[str, ...] = FACTS) -> Iterator[dict]:
-    """The units of one file, numbered in physical order: archives entry by entry, descending into archives in them."""
-    for seq, unit in enumerate(_walk(path, data, depth, wanted)):
+def walk(path: str, data: bytes, depth: int = DEPTH, wanted: tuple[str, ...] | None = FACTS, names: frozenset[bytes] | None = None, limits: Limits | None = None) -> Iterator[dict]:
+    """The units of one file, numbered in physical order: archives entry by entry, descending into archives in them.
+
+    wanted: the nested facts to build, None for a listing that reads no class; names: the entries to read, the others are
+    listed; limits: of the file's budget.  Units come one at a time: who stops asking stops the reading.
+    """
+    limits = limits or Limits()
+    most = depth if limits.nested_depth is None else min(depth, limits.nested_depth)
+    reading = Reading(most, wanted, names, Budget(limits))
+    for seq, unit in enumerate(_walk(path, data, reading)):
         yield unit | {"unit_seq": seq}
 
 
-def _walk(path: str, data: bytes, depth: int, wanted: tuple[str, ...]) -> Iterator[dict]:
+def _walk(path: str, data: bytes, reading: Reading) -> Iterator[dict]:
+    try:
+        reading.budget.charge("input_bytes", len(data))
+    except BudgetExceeded as e:
+        yield reading.stop(_blank("", path, None, 0, 0, b"") | {"method": "root", "size": len(data)}, e)
+        return
     snapshot = hashlib.sha256(data).hexdigest()
     if data[:4] in ARCHIVES:
-        yield from _archive(snapshot, path, data, snapshot, 0, depth, wanted)
+        yield from _archive(snapshot, path, data, snapshot, 0, reading)
         return
     unit = _blank(snapshot, path, None, 0, 0, b"") | {"is_class_candidate": data[:4] == b"\xca\xfe\xba\xbe", "method": "root", "size": len(data)}
-    _content(unit, data, wanted)
+    try:
+        _content(unit, data, reading)
+    except BudgetExceeded as e:
+        unit = reading.stop(unit, e)
     if not unit["is_class_candidate"]:
         unit |= {"read_status": "unsupported", "stop_code": "unknown_root"}
     yield unit
 
 
-def _archive(snapshot: str, path: str, data: bytes, container: str, depth: int, most: int, wanted: tuple[str, ...]) -> Iterator[dict]:
+def _archive(snapshot: str, path: str, data: bytes, container: str, depth: int, reading: Reading) -> Iterator[dict]:
     try:
         z = zipfile.ZipFile(io.BytesIO(data))
         infos = z.infolist()
     except (zipfile.BadZipFile, ValueError, EOFError, NotImplementedError) as e:
-        yield _blank(snapshot, path, container, depth, -1, b"") | {"read_status": "damaged", "stop_code": "directory_unreadable", "problems": [type(e).__name__]}
-        return
+        z, infos, damage = None, _Local(data), type(e).__name__
     for ordinal, info in enumerate(infos):
         raw = info.orig_filename.encode("utf-8" if info.flag_bits & 0x800 else "cp437", "replace")
         unit = _blank(snapshot, path, container, depth, ordinal, raw) | {
             "method": METHODS.get(info.compress_type, f"method_{info.compress_type}"), "is_dir": raw.endswith(b"/"), "size": info.file_size, "crc": info.CRC,
             "variant_version": _variant(C.display(raw))}
         inner = b""
-        if info.flag_bits & 1:
-            unit |= {"read_status": "unsupported", "stop_code": "encrypted"}
-        elif info.compress_type not in METHODS:
-            unit |= {"read_status": "unsupported", "stop_code": "unknown_method"}
-        elif not unit["is_dir"]:
-            try:
-                body = z.read(info)
-                _content(unit, body, wanted)
+        try:
+            reading.budget.charge("archive_entries", 1)
+            if info.flag_bits & 1:
+                unit |= {"read_status": "unsupported", "stop_code": "encrypted"}
+            elif info.compress_type not in METHODS:
+                unit |= {"read_status": "unsupported", "stop_code": "unknown_method"}
+            elif not unit["is_dir"]:
+                opened = (lambda info=info: z.open(info)) if z else info.open
+                body = _inflated(unit, opened, info, raw, reading)
                 inner = body if body[:4] in ARCHIVES else b""
-            except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, OSError) as e:
-                unit |= {"read_status": "damaged", "stop_code": "crc_mismatch" if "CRC" in str(e) else "entry_unreadable"}
-        if inner and depth + 1 > most:
+        except BudgetExceeded as e:
+            yield reading.stop(unit, e)
+            return
+        except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, OSError) as e:
+            unit |= {"read_status": "damaged", "stop_code": "crc_mismatch" if "CRC" in str(e) else "entry_unreadable"}
+        if inner and depth + 1 > reading.depth:
             unit |= {"read_status": "partial", "stop_code": "nested_depth"}
             inner = b""
         yield unit
         if inner:
             below = hashlib.sha256(f"{container}|{ordinal}|{unit['digest']}".encode()).hexdigest()
-            yield from _archive(snapshot, path, inner, below, depth + 1, most, wanted)
+            yield from _archive(snapshot, path, inner, below, depth + 1, reading)
+            if reading.stopped:
+                return
+    if z is None:
+        yield _blank(snapshot, path, container, depth, -1, b"") | {"read_status": "damaged", "stop_code": "directory_unreadable",
+                                                                  "problems": [damage, f"skipped: {infos.at}-{len(data)}"]}
+
+
+def _inflated(unit: dict, opened, info, raw: bytes, reading: Reading) -> bytes:
+    """The entry's bytes, read into the unit where they are wanted; what is only listed is read if it is an archive itself."""
+    if not reading.reads(raw):
+        unit["read_status"] = "listed"
+        with opened() as f:
+            if f.read(4) not in ARCHIVES:
+                return b""
+    reading.budget.charge("entry_bytes", info.file_size)  # nothing inflates beyond the size that its header tells
+    with opened() as f:
+        body = f.read()
+    if reading.reads(raw):
+        reading.budget.charge("read_bytes", len(body))
+        _content(unit, body, reading)
+    else:
+        unit |= {"digest": hashlib.sha256(body).hexdigest(), "length": len(body)}
+    return body
+
+
+class _Local:
+    """The entries that an archive's local headers tell, from its start to the first that is cut short or hides its size."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at = data, 0
+
+    def __iter__(self) -> Iterator[_LocalEntry]:
+        while self.data[self.at : self.at + 4] == ARCHIVES[0] and len(self.data) >= self.at + 30:
+            flags, method, crc, packed, size, n, extra = binary.unpack("<2xHH4xIIIHH", self.data[self.at + 4 : self.at + 30])
+            start = self.at + 30 + n + extra
+            if flags & 9 or start + packed > len(self.data):
+                return
+            name = self.data[self.at + 30 : self.at + 30 + n].decode("utf-8" if flags & 0x800 else "cp437", "replace")
+            yield _LocalEntry(name, flags, method, crc, size, self.data[start : start + packed])
+            self.at = start + packed
+
+
+@dataclass
+class _LocalEntry:
+    orig_filename: str
+    flag_bits: int
+    compress_type: int
+    CRC: int
+    file_size: int
+    packed: bytes
+
+    def open(self) -> io.BytesIO:
+        body = self.packed if self.compress_type == zipfile.ZIP_STORED else zlib.decompressobj(-15).decompress(self.packed, self.file_size + 1)
+        if len(body) != self.file_size or zlib.crc32(body) != self.CRC:
+            raise zipfile.BadZipFile("CRC or size")
+        return io.BytesIO(body)
 
 
 def _batches(rows: Iterator[dict], size: int = 64) -> Iterator[pa.RecordBatch]:
@@ -234,20 +341,30 @@ def _batches(rows: Iterator[dict], size: int = 64) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(held, schema=schema)
 
 
-def decoded(files: DataFrame, depth: int = DEPTH, wanted: tuple[str, ...] = FACTS) -> DataFrame:
-    """The units of files given as (path, content), with the nested facts that are wanted."""
+def decoded(files: DataFrame, depth: int = DEPTH, wanted: tuple[str, ...] | None = FACTS, names: frozenset[bytes] | None = None, limits: Limits | None = None) -> DataFrame:
+    """The units of files given as (path, content), with the nested facts that are wanted (see ``walk``)."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p, data in zip(batch.column("path"), batch.column("content"), strict=True):
-                yield from _batches(walk(p.as_py(), data.as_py(), depth, wanted))
+                yield from _batches(walk(p.as_py(), data.as_py(), depth, wanted, names, limits))
 
     return files.select("path", "content").mapInArrow(decode, SCHEMA)
 
 
-def units(spark: SparkSession, path: str, depth: int = DEPTH) -> DataFrame:
+def units(spark: SparkSession, path: str, depth: int = DEPTH, limits: Limits | None = None) -> DataFrame:
     """The units of all files at path (a file, a folder or a pattern).  Store the result before querying it repeatedly."""
-    return decoded(spark.read.format("binaryFile").load(path), depth)
+    return decoded(spark.read.format("binaryFile").load(path), depth, limits=limits)
+
+
+def listed(files: DataFrame, depth: int = DEPTH, limits: Limits | None = None) -> DataFrame:
+    """The units by name alone: no class is read, no entry inflated but archives in archives."""
+    return decoded(files, depth, None, limits=limits)
+
+
+def directed(files: DataFrame, names: list[bytes], depth: int = DEPTH, wanted: tuple[str, ...] = FACTS, limits: Limits | None = None) -> DataFrame:
+    """The units of the entries of these names, in every container; no other class is read."""
+    return decoded(files, depth, wanted, frozenset(names), limits).where(F.col("read_status") != "listed")
 
 
 _PLACE = ["snapshot_id", "path", "unit_seq", "container_id", "ordinal", "def_key"]
@@ -266,7 +383,7 @@ def snapshots(u: DataFrame) -> DataFrame:
 def containers(u: DataFrame) -> DataFrame:
     """Containers with whether their directory could be listed."""
     return u.where("container_id is not null").groupBy("snapshot_id", "container_id", "depth").agg(
-        F.count(F.when(F.col("ordinal") >= 0, 1)).alias("entries"), (F.count(F.when(F.col("stop_code") == "directory_unreadable", 1)) == 0).alias("directory_complete"))
+        F.count(F.when(F.col("ordinal") >= 0, 1)).alias("entries"), (F.count(F.when(F.col("stop_code").isin("directory_unreadable", "budget_exceeded"), 1)) == 0).alias("directory_complete"))
 
 
 def entries(u: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 import glob
 import json
+import os
 import struct
 import sys
+import time
 
 import duckdb
 import pytest
@@ -182,11 +184,64 @@ def test_data_source_and_store(spark, tmp_path):
     assert spark.read.format("artifact").load(str(tmp_path)).count() == direct
     store = FactsStore(f"file://{tmp_path}-facts")
     cold, warm = store.units(spark, str(tmp_path)), store.units(spark, str(tmp_path))
-    assert store.counters == {"consultations": 2, "hits": 1, "misses": 1}
+    assert store.counters == {"consultations": 2, "hits": 1, "misses": 1, "refused": 0}
     plain = lambda df: sorted(map(str, S.xrefs(df).drop("path").collect()))
     assert plain(cold) == plain(warm) == plain(S.units(spark, str(tmp_path)))
     (tmp_path / "s2.jar").write_bytes(artifacts.sample_archive(2, 4))
     assert store.units(spark, str(tmp_path)).count() > direct and store.counters["misses"] == 2
+    os.utime(tmp_path / "s1.jar", (1, 1))
+    (tmp_path / "copy.jar").write_bytes(artifacts.sample_archive(1, 4))
+    both = store.units(spark, str(tmp_path))
+    assert store.counters["misses"] == 2 and plain(both) == plain(S.units(spark, str(tmp_path)))
+    (tmp_path / "s0.jar").write_bytes(artifacts.sample_archive(7, 4))  # the same size, in the same second
+    assert plain(store.units(spark, str(tmp_path))) == plain(S.units(spark, str(tmp_path))) and store.counters["misses"] == 3
+    small = FactsStore(f"file://{tmp_path}-small", capacity=len(artifacts.sample_archive(1, 4)) * 2 + 200)
+    for _ in range(2):
+        assert plain(small.units(spark, str(tmp_path))) == plain(S.units(spark, str(tmp_path)))
+    assert small.counters["refused"] == 2 and small.counters["misses"] == 2
+
+
+def test_budgets_stop_the_walk():
+    """Each dimension is charged before the work: what came before is kept, and the row that was stopped says why."""
+    classes = [(f"p/C{k}.class", A.sample_class("p", k)) for k in range(4)]
+    bomb = A.archive([*classes[:2], ("bomb.bin", b"\0" * 50_000_000), *classes[2:]])
+    assert len(bomb) < 100_000
+    started = time.process_time()
+    got = list(S.walk("b", bomb, limits=Limits(entry_bytes=1_000_000)))
+    assert time.process_time() - started < 1 and [u["name"] for u in got] == ["p/C0.class", "p/C1.class", "bomb.bin"]
+    assert (got[-1]["read_status"], got[-1]["stop_code"]) == ("stopped", "budget_exceeded") and got[-1]["problems"][0].startswith("entry_bytes: ")
+    nested = A.archive([("in.jar", A.archive(classes)), ("after.txt", b"x")])
+    size = len(classes[0][1])
+    for limits, names in ((Limits(archive_entries=3), 4), (Limits(class_bytes=2 * size), 4), (Limits(class_headers=1), 3), (Limits(method_bodies=5), 3), (Limits(code_bytes=40), 3),
+                          (Limits(attribute_bytes=1), 2), (Limits(read_bytes=1), 1), (Limits(input_bytes=10), 1)):
+        units = list(S.walk("n", nested, limits=limits))
+        assert len(units) == names and units[-1]["read_status"] == "stopped", (limits, [(u["name"], u["read_status"]) for u in units])
+        assert all(u["read_status"] == "read" for u in units[:-1])
+    assert [u["stop_code"] for u in S.walk("n", nested, limits=Limits(nested_depth=0))] == ["nested_depth", None]
+    assert [u["read_status"] for u in S.walk("n", nested, limits=Limits())] == ["read"] * 6
+
+
+def test_an_honest_prefix_of_a_cut_archive():
+    whole = A.archive([(f"p/C{k}.class", A.sample_class("p", k)) for k in range(4)])
+    cut = whole[: whole.find(b"p/C3.class") + 30]
+    units = list(S.walk("c", cut))
+    assert [(u["name"], u["read_status"], u["class_state"]) for u in units[:-1]] == [(f"p/C{k}.class", "read", "complete") for k in range(3)]
+    assert (units[-1]["ordinal"], units[-1]["stop_code"]) == (-1, "directory_unreadable") and units[-1]["problems"][1] == f"skipped: {whole.find(b'p/C3.class') - 30}-{len(cut)}"
+
+
+def test_listing_and_directed_reads_decode_nothing_else(spark, monkeypatch):
+    data = artifacts.sample_archive(0, 6)
+    seen, decode = [], C.decode
+    monkeypatch.setattr(C, "decode", lambda x: seen.append(1) or decode(x))
+    names = [(u["name"], u["depth"]) for u in S.walk("a", data)]
+    assert len(seen) == 7
+    assert [(u["name"], u["depth"]) for u in S.walk("a", data, wanted=None)] == names and len(seen) == 7
+    mine = [u for u in S.walk("a", data, names=frozenset([b"p0/C4.class"])) if u["read_status"] != "listed"]
+    assert [(u["name"], u["depth"], u["this_class"]) for u in mine] == [("p0/C4.class", 1, b"p0/C4")] and len(seen) == 8
+    first = next(S.walk("a", data, wanted=()))  # on demand: nothing behind it is read
+    assert first["name"] == "META-INF/MANIFEST.MF" and len(seen) == 8
+    df = spark.createDataFrame([("a", data)], "path string, content binary")
+    assert S.directed(df, [b"p0/C4.class"]).count() == 1 and S.listed(df).count() == len(names)
 
 
 def test_root_bytes(spark, tmp_path):
@@ -471,8 +526,10 @@ def test_analysis_and_export(spark, units, tmp_path):
 
 def test_plugins(spark, units):
     bad = plugins.Rule("bad", 1, "classes", "result_items", "builtin", lambda u: u.select("no_such_column"))
-    found, states = plugins.run(units, ["services", "bad", "what", "entry-points"], plugins.PLUGINS | {"bad": bad})
-    assert states == {"services": "completed", "entry-points": "completed", "bad": "stopped", "what": "unknown", "signatures": "not_requested", "process-calls": "not_requested"}
+    late = plugins.Rule("late", 1, "classes", "result_items", "builtin", lambda u: u.select("path", F.lit("x").alias("subject"), F.raise_error(F.lit("at run time")).cast("string").alias("detail")))
+    found, states = plugins.run(units, ["services", "bad", "late", "what", "entry-points"], plugins.PLUGINS | {"bad": bad, "late": late})
+    assert states == {"services": "completed", "entry-points": "completed", "bad": "stopped", "late": "stopped", "what": "unknown", "signatures": "not_requested",
+                      "process-calls": "not_requested"}
     assert {(r.rule, r.subject, r.detail) for r in found.collect()} >= {("services", "service:p0.C0", "p0.C1"), ("entry-points", "entry:Main-Class", "p1.C0")}
 
 
