@@ -29,7 +29,7 @@ PLANES = {"representation": ("java", "listing"), "quality": ("recovered", "fallb
 BLOCKS_MOST = 65_535
 STATIC = 0x0008
 PLACE = "path string, unit_seq bigint, def_key string, this_class binary, member_index int, name binary, descriptor binary"
-ANALYSIS = struct(PLACE + ", state string, code string", blocks="start int, end int, idom int, component int",
+ANALYSIS = struct(PLACE + ", state string, code string, started array<string>, done array<string>", blocks="start int, end int, idom int, component int",
                   edges="source int, target int, kind string", back_edges="source int, target int",
                   frames="block int, stack string, locals string", phis="block int, local int, source int, value string")
 RECOVERED = struct(PLACE + ", representation string, quality string, syntax string, compile string, semantic_validation string, verification string, reason string, text string, artifact string",
@@ -65,10 +65,11 @@ def _place(unit: dict, m: dict) -> dict:
 
 
 def _analysed(m: dict, code: list[dict], handlers: list[dict], constants: dict[int, dict], stages: tuple[str, ...]) -> dict:
-    out: dict = {"state": "complete", "code": None, "blocks": [], "edges": [], "back_edges": [], "frames": [], "phis": []}
+    out: dict = {"state": "complete", "code": None, "started": ["raw_facts"], "done": ["raw_facts"], "blocks": [], "edges": [], "back_edges": [], "frames": [], "phis": []}
     try:
         if "raw_cfg" not in stages or not code:
             return out
+        out["started"].append("raw_cfg")
         blocks, edges = D.control_flow(code, handlers)
         if len(blocks) > BLOCKS_MOST:
             raise D.Refused("too_many_blocks")
@@ -76,20 +77,27 @@ def _analysed(m: dict, code: list[dict], handlers: list[dict], constants: dict[i
         idom, group = D.dominators(starts[0], edges), D.components(edges, starts)
         out["edges"] = [{"source": a, "target": b, "kind": k} for a, b, k in edges]
         out["blocks"] = [{"start": a, "end": b, "idom": idom.get(a), "component": group[a]} for a, b in blocks]
+        out["done"].append("raw_cfg")
         if "canonical_cfg" in stages:
+            out["started"].append("canonical_cfg")
             if any(k in ("jsr", "ret") for _, _, k in edges):
                 raise D.Refused("subroutine")
             out["back_edges"] = [{"source": a, "target": b} for a, b in D.loops(edges, idom)]
+            out["done"].append("canonical_cfg")
         static = bool(m["flags"] & STATIC)
         if "frames" in stages:
+            out["started"].append("frames")
             found = D.frames(code, handlers, constants, m["descriptor"], static, m["name"] == b"<init>")
             out["frames"] = [{"block": b, "stack": " ".join(f.stack), "locals": " ".join(f"{k}:{t}" for k, t in sorted(f.local.items()))} for b, f in sorted(found.items())]
+            out["done"].append("frames")
         if "ssa" in stages:
+            out["started"].append("ssa")
             given, n = ([] if static else [0]), 0 if static else 1
             for a in C.arguments(m["descriptor"])[0]:
                 given.append(n)
                 n += 2 if a in (b"J", b"D") else 1
             out["phis"] = [{"block": b, "local": k, "source": p, "value": v} for (b, k), ways in sorted(D.phis(code, handlers, given).items()) for p, v in ways.items()]
+            out["done"].append("ssa")
     except (D.Refused, C.Damaged) as e:
         out |= {"state": "refused", "code": e.code}
     return out
@@ -118,6 +126,16 @@ def analyze(u: DataFrame, stages: tuple[str, ...] = tuple(STAGES)) -> DataFrame:
     return rows.mapInArrow(_each(lambda unit, m, code, handlers, constants: _analysed(m, code, handlers, constants, wanted), ANALYSIS), ANALYSIS)
 
 
+def observations(analysis: DataFrame) -> DataFrame:
+    """How often each stage was started and completed, over all bodies."""
+    rows = analysis.select(F.explode("started").alias("stage"), F.col("done"))
+    return rows.groupBy("stage").agg(F.count(F.lit(1)).alias("starts"), F.count(F.when(F.expr("array_contains(done, stage)"), 1)).alias("completions"))
+
+
+#: The kinds of evidence that a recovery can carry; what isn't asked for isn't built.
+EVIDENCE = ("source_map", "region_details", "rule_details", "name_details", "read_details")
+
+
 def _text(unit: dict, m: dict, code: list[dict], handlers: list[dict], constants: dict[int, dict]) -> dict:
     got = R.recover(code, handlers, constants, m["descriptor"], bool(m["flags"] & STATIC), unit["this_class"])
     kind = got["representation"]
@@ -168,12 +186,41 @@ def texts_of_files(files: DataFrame, *keep: str, depth: int = S.DEPTH) -> DataFr
     return files.select("path", "content").mapInArrow(run, _texts_schema(keep))
 
 
-def recover(u: DataFrame) -> DataFrame:
-    """One row a method body: its text, the planes that say what it is worth, and a source map.
+def _evidence(unit: dict, m: dict, code: list[dict], handlers: list[dict], constants: dict[int, dict], wanted: tuple[str, ...]) -> dict:
+    """Details of one recovery by kind; only the wanted kinds are worked out."""
+    out = {}
+    try:
+        if "region_details" in wanted:
+            blocks, edges = D.control_flow(code, handlers)
+            out["region_details"] = [f"{a}-{b}" for a, b in blocks] + [f"{a}>{b}:{k}" for a, b, k in edges]
+        if "name_details" in wanted:
+            out["name_details"] = [f"local {k}" for k in sorted({i["local"] for i in code if i["local"] is not None and i["local"] >= 0})]
+    except (D.Refused, C.Damaged) as e:
+        out["region_details"] = [f"refused: {e.code}"]
+    if "rule_details" in wanted:
+        out["rule_details"] = ["constructor"] if m["name"] == b"<init>" else []
+    if "read_details" in wanted:
+        out["read_details"] = [f"instructions {len(code)}", f"constants {len({i['cp_index'] for i in code if i['cp_index'] is not None and i['cp_index'] > 0})}"]
+    return out
+
+
+def recover(u: DataFrame, evidence: tuple[str, ...] = ("source_map",)) -> DataFrame:
+    """One row a method body: its text, the planes that say what it is worth, and the evidence that is asked for.
 
-    artifact identifies the inputs that the text depends on.
+    artifact identifies the inputs that the text depends on; segments is the source map, details the other kinds.
     """
-    rows = u.where("def_key is not null").select(*_NEEDED).mapInArrow(_each(_text, RECOVERED), RECOVERED)
+    for kind in evidence:
+        if kind not in EVIDENCE:
+            raise InvalidInput("unknown_evidence")
+    more = tuple(k for k in evidence if k != "source_map")
+
+    def each(unit, m, code, handlers, constants):
+        out = _text(unit, m, code, handlers, constants)
+        kept = out if "source_map" in evidence else out | {"segments": []}
+        return kept | ({"details": list(_evidence(unit, m, code, handlers, constants, more).items())} if more else {})
+
+    schema = T.StructType([*RECOVERED.fields, T.StructField("details", T.MapType(T.StringType(), T.ArrayType(T.StringType())))]) if more else RECOVERED
+    rows = u.where("def_key is not null").select(*_NEEDED).mapInArrow(_each(each, schema), schema)
     return rows.withColumn("artifact", F.sha2(F.concat_ws("|", F.lit("recover-1"), "def_key", F.hex("name"), F.hex("descriptor")), 256))
 
 

@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.request import UNSUPPORTED, InvalidInput, Limits, Literal, QueryRequest, Symbol
+from ..plans.request import UNSUPPORTED, Budget, InvalidInput, Limits, Literal, QueryRequest, Symbol
 from ..sources import artifact as S
 from . import algebra as A
 
@@ -100,6 +100,23 @@ def usage(u: DataFrame) -> DataFrame:
         F.sum(F.aggregate("members", F.lit(0).cast("long"), lambda a, m: a + F.coalesce(m["code_length"], F.lit(0)))).alias("code_bytes"), F.max("depth").alias("nested_depth"))
 
 
+def with_usage(report: DataFrame, budget: Budget) -> DataFrame:
+    """The report with what the operation has used, whatever its state; nothing else of it changes."""
+    used = F.create_map(*[x for k, v in sorted(budget.used.items()) for x in (F.lit(k), F.lit(v).cast("long"))]) if budget.used else F.create_map().cast("map<string,bigint>")
+    return report.withColumn("usage", used)
+
+
+def ledger(u: DataFrame, limits: Limits) -> DataFrame:
+    """The shared totals of all files' operations: dimension, used, limit and whether they went over it."""
+    totals = usage(u).agg(*[F.max(c).alias(c) if c == "nested_depth" else F.sum(c).alias(c) for c in LEDGER])
+    rows = totals.select(F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.coalesce(F.col(c), F.lit(0)).cast("long").alias("used"),
+                                                      F.lit(getattr(limits, c)).cast("long").alias("limit")) for c in LEDGER])).alias("r")).select("r.*")
+    return rows.withColumn("exceeded", F.coalesce(F.col("used") > F.col("limit"), F.lit(False)))
+
+
+LEDGER = ("archive_entries", "entry_bytes", "class_bytes", "class_headers", "method_bodies", "code_bytes", "nested_depth")
+
+
 def grouped_by_method(items: DataFrame) -> DataFrame:
     """Body hits by owning method; class-level hits keep a bucket of their own (member_index -1)."""
     return items.groupBy("def_key", "this_class", "member_index").agg(

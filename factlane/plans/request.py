@@ -65,21 +65,51 @@ class Limits:
 
 @dataclass
 class Budget:
-    """What an operation has used; charges are refused before the work, and a cancellation outranks every bound."""
+    """What an operation has used; charges are refused before the work, and a cancellation outranks every bound.
+
+    Operations that share a ledger each have a budget with the ledger's as its parent: a charge must fit both, and the
+    first refusal anywhere stops all of them.
+    """
 
     limits: Limits = field(default_factory=Limits)
     used: dict[str, int] = field(default_factory=dict)
     cancelled: bool = False
+    parent: Budget | None = None
+    first_stop: BudgetExceeded | None = None
 
-    def charge(self, dimension: str, amount: int) -> None:
+    def child(self, limits: Limits | None = None) -> Budget:
+        """The budget of one of the operations that share this one."""
+        return Budget(limits or Limits(), parent=self)
+
+    def poll(self) -> None:
+        """Raise if this operation, or one that it shares a ledger with, must not go on."""
         if self.cancelled:
             raise InterruptedError("cancelled")
-        limit = getattr(self.limits, dimension)
-        have = self.used.get(dimension, 0)
+        if self.parent is not None:
+            self.parent.poll()
+            if self.parent.first_stop is not None:
+                raise self.parent.first_stop
+
+    def _fits(self, dimension: str, amount: int) -> int:
+        limit, have = getattr(self.limits, dimension), self.used.get(dimension, 0)
         now = max(have, amount) if dimension in HIGH_WATER else have + amount
         if limit is not None and now > limit:
-            raise BudgetExceeded(dimension, limit, have, amount)
-        self.used[dimension] = now
+            stop = BudgetExceeded(dimension, limit, have, amount)
+            self.first_stop = self.first_stop or stop
+            if self.parent is not None:
+                self.parent.first_stop = self.parent.first_stop or stop
+            raise stop
+        return now
+
+    def charge(self, dimension: str, amount: int) -> None:
+        """Either all of the ledger's budgets take the amount, or none."""
+        self.poll()
+        line = [self]
+        while line[-1].parent is not None:
+            line.append(line[-1].parent)
+        totals = [b._fits(dimension, amount) for b in line]
+        for b, now in zip(line, totals, strict=True):
+            b.used[dimension] = now
 
     def cancel(self) -> None:
         self.cancelled = True

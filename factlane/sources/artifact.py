@@ -205,17 +205,22 @@ def _content(unit: dict, data: bytes, reading: Reading) -> None:
         unit["resources"] = resources(unit["name"], data)
 
 
-def walk(path: str, data: bytes, depth: int = DEPTH, wanted: tuple[str, ...] | None = FACTS, names: frozenset[bytes] | None = None, limits: Limits | None = None) -> Iterator[dict]:
+def walk(path: str, data: bytes, depth: int = DEPTH, wanted: tuple[str, ...] | None = FACTS, names: frozenset[bytes] | None = None, limits: Limits | None = None,
+         budget: Budget | None = None) -> Iterator[dict]:
     """The units of one file, numbered in physical order: archives entry by entry, descending into archives in them.
 
     wanted: the nested facts to build, None for a listing that reads no class; names: the entries to read, the others are
-    listed; limits: of the file's budget.  Units come one at a time: who stops asking stops the reading.
+    listed; limits: of the file's budget, or a budget that shares a ledger.  Units come one at a time: who stops asking stops
+    the reading, and a cancelled budget ends it with a row that says so.
     """
-    limits = limits or Limits()
+    limits = budget.limits if budget is not None else limits or Limits()
     most = depth if limits.nested_depth is None else min(depth, limits.nested_depth)
-    reading = Reading(most, wanted, names, Budget(limits))
-    for seq, unit in enumerate(_walk(path, data, reading)):
-        yield unit | {"unit_seq": seq}
+    reading, seq = Reading(most, wanted, names, budget if budget is not None else Budget(limits)), -1
+    try:
+        for seq, unit in enumerate(_walk(path, data, reading)):
+            yield unit | {"unit_seq": seq}
+    except InterruptedError:
+        yield _blank("", path, None, 0, -1, b"") | {"unit_seq": seq + 1, "read_status": "stopped", "stop_code": "cancelled"}
 
 
 def _walk(path: str, data: bytes, reading: Reading) -> Iterator[dict]:
@@ -263,6 +268,8 @@ def _archive(snapshot: str, path: str, data: bytes, container: str, depth: int,
         except BudgetExceeded as e:
             yield reading.stop(unit, e)
             return
+        except InterruptedError:  # cancelled; an OSError by class alone
+            raise
         except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, OSError) as e:
             unit |= {"read_status": "damaged", "stop_code": "crc_mismatch" if "CRC" in str(e) else "entry_unreadable"}
         if inner and depth + 1 > reading.depth:

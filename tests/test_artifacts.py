@@ -336,6 +336,44 @@ def test_budget():
         Limits().override(nonsense=1)
 
 
+def test_operations_share_a_ledger():
+    """Two walks on one ledger: the second's charge is refused by the sum, the first refusal stops both; cancelling ends a walk."""
+    data = A.archive([(f"p/C{k}.class", A.sample_class("p", k)) for k in range(4)])
+    shared = Budget(Limits(class_headers=6))
+    one, two = shared.child(), shared.child(Limits(class_headers=5))
+    assert [u["read_status"] for u in S.walk("a", data, budget=one)] == ["read"] * 4
+    assert [u["read_status"] for u in S.walk("b", data, budget=two)] == ["read", "read", "stopped"]
+    assert shared.used["class_headers"] == 6 and two.used["class_headers"] == 2 and shared.first_stop.dimension == "class_headers"
+    with pytest.raises(BudgetExceeded):
+        one.charge("read_bytes", 1)
+    third, rows = Budget(), []
+    for u in S.walk("c", data, budget=third):
+        rows.append(u["stop_code"])
+        third.cancel()
+    assert rows == [None, "cancelled"]
+
+
+def test_usage_and_ledger_rows(spark, units):
+    report = spark.createDataFrame([("partial",)], "state string")
+    budget = Budget()
+    budget.charge("class_headers", 3)
+    assert relations.with_usage(report, budget).first().asDict() == {"state": "partial", "usage": {"class_headers": 3}}
+    assert relations.with_usage(report, Budget()).first()["usage"] == {}
+    got = {r.dimension: (r.used, r.exceeded) for r in relations.ledger(units, Limits(class_headers=100, nested_depth=1)).collect()}
+    assert got["class_headers"] == (123, True) and got["nested_depth"] == (1, False) and got["method_bodies"] == (492, False)
+
+
+def test_observations_and_evidence(units):
+    seen = {r.stage: (r.starts, r.completions) for r in methods.observations(methods.analyze(units)).collect()}
+    assert seen == {s: (492, 492) for s in methods.STAGES}
+    bare = methods.recover(units, ()).limit(3).collect()
+    assert "details" not in bare[0].asDict() and all(not r.segments for r in bare)
+    full = methods.recover(units, methods.EVIDENCE).where("member_index = 3").first()
+    assert full.segments and set(full.details) == set(methods.EVIDENCE) - {"source_map"} and any(">" in x for x in full.details["region_details"])
+    with pytest.raises(InvalidInput):
+        methods.recover(units, ("rumours",))
+
+
 def test_targets_and_grouping(units):
     assert relations.find_targets(units, "p1.C3").count() == relations.find_targets(units, "p1/C3").count() == 1
     assert relations.find_targets(units, "p0.C0").count() == 2  # the base and the versioned entry
