@@ -38,7 +38,7 @@ def sample_files(spark: SparkSession, archives: int = ARCHIVES) -> DataFrame:
             for k in batch.column("id").to_pylist():
                 yield pa.RecordBatch.from_pydict({"path": [f"sample-{k:04d}.jar"], "content": [sample_archive(k)]})
 
-    return spark.range(0, archives, 1, min(archives, 64)).mapInArrow(make, "path string, content binary")
+    return spark.range(0, archives, 1, min(archives, 2 * spark.sparkContext.defaultParallelism)).mapInArrow(make, "path string, content binary")
 
 
 def sample_units(spark: SparkSession, archives: int = ARCHIVES, wanted: tuple[str, ...] = S.FACTS) -> DataFrame:
@@ -60,7 +60,7 @@ def reflective_units(spark: SparkSession, archives: int = ARCHIVES) -> DataFrame
             for k in batch.column("id").to_pylist():
                 yield pa.RecordBatch.from_pydict({"path": [f"reflect-{k:04d}.jar"], "content": [A.archive([(f"r{k}/R.class", reflective_class(k))])]})
 
-    return S.decoded(spark.range(0, archives, 1, min(archives, 64)).mapInArrow(make, "path string, content binary"))
+    return S.decoded(spark.range(0, archives, 1, min(archives, 2 * spark.sparkContext.defaultParallelism)).mapInArrow(make, "path string, content binary"))
 
 
 def _plain(df: DataFrame, *columns: str) -> DataFrame:
