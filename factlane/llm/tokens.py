@@ -9,8 +9,8 @@ The unigram model is the public vocabulary itself: a piece's probability falls w
 1 / (place + 1), and every byte can stand for itself at a price below all pieces (byte fallback).  Of equal scores the
 segmentation with fewer tokens counts.  Nothing is learned from the corpus, and nothing is shuffled.
 
-Words that are longer than LONGEST bytes share little; they go through the same recursion one by one.  A null or empty
-text has no tokens.  Rows that repeat count again; a null doc_id is kept; other columns are ignored.
+Where fewer than FEW words are still going on, what is left of the trie are single paths; those words go through the same
+recursion one by one.  Texts and words of any length are counted whole.  A null or empty text has no tokens.  Rows that repeat count again; a null doc_id is kept; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +26,7 @@ from . import words as W
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
-#: Bytes up to which words share a trie, in classes of width.
-CLASSES = (16, 40, 120)
-LONGEST = CLASSES[-1]
+FEW = 32
 SLOTS = 1 << 18
 BLOCK = 2 * W.PIECE
 COUNTS = "doc_id bigint, n_bytes bigint, n_words bigint, n_tokens bigint, n_fallback bigint"
@@ -110,38 +108,52 @@ def count_one(word: bytes, vocabulary: Vocabulary) -> tuple[int, int]:
     return best[n][1], best[n][2]
 
 
-def count_trie(words: np.ndarray, sizes: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
-    """words: distinct, as rows of bytes padded with zeros; (tokens, fallback bytes) for each, by one trie."""
-    n, width = words.shape
-    order = np.lexsort([sizes, *(words[:, k] for k in range(width - 1, -1, -1))]) if width <= 4 else np.argsort(
-        np.ascontiguousarray(words).view(f"S{width}").ravel(), kind="stable")
-    words, sizes = words[order], sizes[order]
-    differs = words[1:] != words[:-1]
-    common = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
-    common = np.append(-1, np.minimum(common, np.minimum(sizes[1:], sizes[:-1])))  # of each word with the one before
+def count_trie(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    """(tokens, fallback bytes) for each of some distinct words, which are ranges of bytes, by one trie."""
+    n = len(starts)
     out = np.zeros((n, 2), np.int64)
-    power = W.powers(W._P[0], width + 1)
-    back = W.powers(W.inverse(W._P[0]), width + 1)
+    raw = data.tobytes()
+    words = [raw[a : a + k] for a, k in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    order = np.array(sorted(range(n), key=words.__getitem__), np.int64)
+    starts, sizes = starts[order], sizes[order]
+    same = np.ones(n, bool)  # whether a word's prefix is that of the word before it
+    longest = int(sizes.max(initial=0))
+    power, back = W.powers(W._P[0], longest + 1), W.powers(W.inverse(W._P[0]), longest + 1)
     keep = vocabulary.largest + 1
-    state: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(n, np.uint64), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64))]
+    state: list[tuple[np.ndarray, ...]] = [(np.zeros(n, np.uint64), np.zeros(n), np.zeros(n, np.int32), np.zeros(n, np.int32))]
     with np.errstate(over="ignore"):
-        for i in range(1, int(sizes.max(initial=0)) + 1):
+        for i in range(1, longest + 1):
             alive = np.flatnonzero(sizes >= i)
-            new = common[alive] < i  # the first word with this prefix stands for the node
+            if len(alive) < FEW:
+                for k in alive:
+                    out[order[k]] = count_one(words[order[k]], vocabulary)
+                break
+            if 2 * len(alive) < len(sizes):  # the others have ended: their numbers are not carried along
+                lost = np.diff(alive, prepend=-2) > 1  # the word before was shorter than any prefix to come
+                order, starts, sizes, same = order[alive], starts[alive], sizes[alive], same[alive] & ~lost
+                state = [tuple(x[alive] for x in level) for level in state]
+                alive = np.arange(len(order))
+            byte = data[starts[alive] + i - 1]
+            last = np.maximum(alive - 1, 0)
+            same[alive] &= (alive > 0) & (sizes[last] >= i) & (data[starts[last] + np.minimum(i, sizes[last]) - 1] == byte)
+            new = ~same[alive]  # the first word with this prefix stands for the node
             node = alive[new]
             prefix, score, tokens, fallback = state[-1]
-            h = prefix[node] + W._BYTE[0][words[node, i - 1]] * power[i - 1]
+            h = prefix[node] + W._BYTE[0][byte[new]] * power[i - 1]
             top, count, bytes_ = score[node] + vocabulary.byte, tokens[node] + 1, fallback[node] + 1
             for k in vocabulary.sizes:
                 if k > i:
                     break
                 prefix, score, tokens, fallback = state[-k]
                 p = vocabulary.look_up(W.mix((h - prefix[node]) * back[i - k] + np.uint64(k * W._SEED & (1 << 64) - 1)))
-                got, more, same = score[node] + p, tokens[node] + 1, fallback[node]
-                better = (got > top) | ((got == top) & ((more < count) | ((more == count) & (same < bytes_))))
-                top, count, bytes_ = np.where(better, got, top), np.where(better, more, count), np.where(better, same, bytes_)
+                hit = np.flatnonzero(p > -np.inf)
+                some = node[hit]
+                got, more, other = score[some] + p[hit], tokens[some] + 1, fallback[some]
+                better = (got > top[hit]) | ((got == top[hit]) & ((more < count[hit]) | ((more == count[hit]) & (other < bytes_[hit]))))
+                hit = hit[better]
+                top[hit], count[hit], bytes_[hit] = got[better], more[better], other[better]
             of = np.cumsum(new) - 1
-            now = (np.zeros(n, np.uint64), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64))
+            now = (np.zeros(len(sizes), np.uint64), np.zeros(len(sizes)), np.zeros(len(sizes), np.int32), np.zeros(len(sizes), np.int32))
             for whole, part in zip(now, (h, top, count, bytes_), strict=True):
                 whole[alive] = part[of]
             state = [*state[-(keep - 1):], now]
@@ -151,26 +163,15 @@ def count_trie(words: np.ndarray, sizes: np.ndarray, vocabulary: Vocabulary) ->
 
 
 def count_words(found: W.Words, vocabulary: Vocabulary) -> np.ndarray:
-    """(tokens, fallback bytes) of each word of a block; each distinct word is looked at once."""
+    """(tokens, fallback bytes) of each word of a block; each distinct word is looked at once, in one trie for all."""
     _, at, of = np.unique(W.hashes(found), return_index=True, return_inverse=True)
-    starts, sizes = found.starts[at], (found.ends - found.starts)[at]
-    out = np.zeros((len(at), 2), np.int64)
-    low = 0
-    for width in CLASSES:
-        some = np.flatnonzero((sizes > low) & (sizes <= width))
-        low = width
-        for part in np.array_split(some, max(1, -(-len(some) * width // (1 << 21)))):
-            if not len(part):
-                continue
-            column = np.arange(width)
-            place = starts[part][:, None] + column
-            inside = column < sizes[part][:, None]
-            table = np.where(inside, found.data[np.minimum(place, len(found.data) - 1)], 0)
-            marked = np.concatenate([np.tile(np.frombuffer(MARK, np.uint8), (len(part), 1)), table], axis=1).astype(np.uint8)
-            out[part] = count_trie(marked, sizes[part] + len(MARK), vocabulary)
-    for k in np.flatnonzero(sizes > LONGEST):
-        out[k] = count_one(MARK + found.data[starts[k] : starts[k] + sizes[k]].tobytes(), vocabulary)
-    return out[of]
+    starts, sizes = found.starts[at], (found.ends - found.starts)[at] + len(MARK)
+    begin = np.append(0, np.cumsum(sizes))
+    place = np.repeat(starts - begin[:-1] - len(MARK), sizes) + np.arange(begin[-1])
+    marked = found.data[np.clip(place, 0, len(found.data) - 1)]
+    for k, b in enumerate(MARK):
+        marked[begin[:-1] + k] = b
+    return count_trie(marked, begin[:-1], sizes, vocabulary)[of]
 
 
 def token_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:

@@ -36,10 +36,22 @@ def test_recursion_against_all_segmentations():
     words = sorted({bytes(rng.choice(b"abcd\xc3\xa9") for _ in range(rng.randrange(1, 9))) for _ in range(200)})
     want = [(-best(w)[1], -best(w)[2]) for w in words]
     assert [K.count_one(w, v) for w in words] == want
-    table = np.zeros((len(words), 9), np.uint8)
-    for i, w in enumerate(words):
-        table[i, : len(w)] = list(w)
-    assert list(map(tuple, K.count_trie(table, np.array([len(w) for w in words]), v).tolist())) == want
+    sizes = np.array([len(w) for w in words])
+    data = np.frombuffer(b"".join(words), np.uint8)
+    rng.shuffle(at := list(range(len(words))))
+    got = K.count_trie(data, (np.cumsum(sizes) - sizes)[at], sizes[at], v)
+    assert list(map(tuple, got.tolist())) == [want[k] for k in at]
+
+
+def test_words_of_all_lengths_in_one_trie():
+    """Long words that share prefixes, words that end where others go on, and the few that go on alone."""
+    v = K.load()
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("thering漢é") for _ in range(rng.choice((1, 2, 3, 5, 9, 40, 150)))) for _ in range(300)} | {"there" * 300 + str(k) for k in range(40)} | {"the" * 2000})
+    raw = [K.MARK + w.encode() for w in words]
+    sizes = np.array([len(w) for w in raw])
+    got = K.count_trie(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes, sizes, v)
+    assert list(map(tuple, got.tolist())) == [K.count_one(w, v) for w in raw]
 
 
 def test_fixture(spark):
