@@ -71,7 +71,8 @@ def _plain(df: DataFrame, *columns: str) -> DataFrame:
 
 def _items(request: QueryRequest, *columns: str) -> Callable[[SparkSession, str], DataFrame]:
     wanted = ("pool",) if request.relation == "constant_pool_contains" else ("xrefs",)
-    return lambda spark, sf_dir: _plain(relations.query(sample_units(spark, wanted=wanted), request)[0], *columns)
+    # the units are stored once: the items, their page and the report all read them
+    return lambda spark, sf_dir: _plain(relations.query(settled(sample_units(spark, wanted=wanted), "sample-units"), request)[0], *columns)
 
 
 def _roots(u: DataFrame) -> DataFrame:
