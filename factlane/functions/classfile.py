@@ -143,8 +143,12 @@ class ClassFile:
         return [a for a in attributes if a.name == name]
 
 
-def decode(data: bytes) -> ClassFile:
-    """Header, pool, members and attribute shells; bodies stay bytes until they are asked for."""
+def decode(data: bytes, strict: bool = False) -> ClassFile:
+    """Header, pool, members and attribute shells; bodies stay bytes until they are asked for.
+
+    Reading is forensic: damage ends it with what could be read.  A strict one raises instead, as it does for names and
+    flags that no valid class has.
+    """
     out = ClassFile(data)
     c = Cursor(data)
     try:
@@ -175,11 +179,33 @@ def decode(data: bytes) -> ClassFile:
         out.attributes = _shells(out, c)
         if c.at != c.end:
             raise Damaged("trailing_bytes", c.at)
+        if strict:
+            _valid(out)
     except Damaged as e:
+        if strict:
+            raise
         out.state, out.code = ("damaged" if e.code == "bad_magic" else "partial"), e.code
     return out
 
 
+def _valid(f: ClassFile) -> None:
+    """What a strict reading asks beyond the layout: a name, a superclass (but for the root), flags that go together, members once."""
+    interface = bool(f.flags & 0x0200)
+    if not f.this:
+        raise Damaged("no_name", 0)
+    if f.super is None and f.this != b"java/lang/Object" and not f.flags & 0x8000:
+        raise Damaged("no_superclass", 0)
+    if (interface and (not f.flags & 0x0400 or f.flags & 0x0010)) or (f.flags & 0x0410 == 0x0410):
+        raise Damaged("class_flags", 0)
+    seen = set()
+    for m in f.members:
+        if bin(m.flags & 0x0007).count("1") > 1:
+            raise Damaged("member_flags", 0)
+        if (m.kind, m.name, m.descriptor) in seen:
+            raise Damaged("member_twice", 0)
+        seen.add((m.kind, m.name, m.descriptor))
+
+
 def _shells(f: ClassFile, c: Cursor) -> list[Attribute]:
     out = []
     for _ in range(c.u2()):

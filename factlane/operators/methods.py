@@ -234,10 +234,60 @@ def source_map(recovered: DataFrame, at: int | None = None, bci: int | None = No
     return rows.select("def_key", "member_index", "s.start", "s.end", "s.bci", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("covered"))
 
 
+#: Access flags in the order in which modifiers are written, with what each means on a class, field and method.
+MODIFIERS = [(0x0001, "public", "public", "public"), (0x0002, "private", "private", "private"), (0x0004, "protected", "protected", "protected"), (0x0400, "abstract", "", "abstract"),
+             (0x0008, "static", "static", "static"), (0x0010, "final", "final", "final"), (0x0080, "", "transient", ""), (0x0040, "", "volatile", ""),
+             (0x0020, "", "", "synchronized"), (0x0100, "", "", "native"), (0x0800, "", "", "strictfp")]
+SOURCE = "path string, unit_seq bigint, def_key string, source string"
+
+
+def _modifiers(flags: int, what: int) -> str:
+    return "".join(f"{m[what]} " for m in MODIFIERS if flags & m[0] and m[what])
+
+
+def _declaration(c: dict) -> str:
+    """The class's line, with its kind, superclass and interfaces."""
+    flags, name = c["flags"] or 0, R.class_name(c["this_class"])
+    interface = bool(flags & 0x0200)
+    kind = "@interface" if flags & 0x2000 else "interface" if interface else "enum" if flags & 0x4000 else "class"
+    line = _modifiers(flags & ~0x0400 if interface else flags, 1) + f"{kind} {name}"
+    if not interface and c["super_class"] not in (None, b"java/lang/Object", b"java/lang/Enum"):
+        line += f" extends {R.class_name(c['super_class'])}"
+    above = [R.class_name(i) for i in c["interfaces"] or [] if not (flags & 0x2000 and i == b"java/lang/annotation/Annotation")]
+    return line + (f" {'extends' if interface else 'implements'} {', '.join(above)}" if above else "") + " {\n"
+
+
+def _member(c: dict, m: dict, text: str | None) -> str:
+    flags, name = m["flags"], C.display(m["name"])
+    try:
+        if m["kind"] == "field":
+            return f"    {_modifiers(flags, 2)}{R.type_name(m['descriptor'])} {name};\n"
+        given, back = C.arguments(m["descriptor"])
+    except C.Damaged as e:
+        return f"    // {name}: {e.code}\n"
+    if m["name"] == b"<clinit>":
+        line = "static"
+    else:
+        called = R.class_name(c["this_class"]).rpartition(".")[2] if m["name"] == b"<init>" else f"{R.type_name(back)} {name}"
+        line = f"{_modifiers(flags, 3)}{called}({', '.join(f'{R.type_name(a)} p{k}' for k, a in enumerate(given))})"
+    head = f"    // {name}{C.display(m['descriptor'])}\n    {line}"
+    if text is None:
+        return head + ";\n"
+    return head + " {\n" + "".join(f"        {x}\n" for x in text.splitlines()) + "    }\n"
+
+
 def class_source(u: DataFrame, recovered: DataFrame) -> DataFrame:
-    """One row a class: its members' texts in the order of the class file."""
-    named = recovered.select("def_key", F.struct("member_index", F.concat(F.lit("// "), F.decode("name", "UTF-8"), F.decode("descriptor", "UTF-8"), F.lit("\n"), "text").alias("text")).alias("m"))
-    bodies = named.groupBy("def_key").agg(F.array_sort(F.collect_list("m")).alias("m"))
-    head = u.where("def_key is not null").select("path", "unit_seq", "def_key", F.concat(F.lit("class "), F.translate(F.decode("this_class", "UTF-8"), "/", "."), F.lit(" {\n")).alias("head"))
-    body = F.coalesce(F.array_join(F.transform("m", lambda x: x["text"]), "\n"), F.lit(""))
-    return head.join(bodies, "def_key", "left").select("path", "unit_seq", "def_key", F.concat("head", body, F.lit("}\n")).alias("source"))
+    """One row a class: its declaration, fields and methods in the order of the class file, each method under its name and descriptor."""
+    texts = recovered.groupBy("def_key").agg(F.collect_list(F.struct("member_index", "text")).alias("texts"))
+    rows = u.where("def_key is not null and this_class is not null").select("path", "unit_seq", "def_key", "this_class", "super_class", "interfaces", "flags", "members").join(texts, "def_key", "left")
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for c in batch.to_pylist():
+                text = {t["member_index"]: t["text"] for t in c["texts"] or []}
+                body = "".join(_member(c, m, text.get(m["index"])) for m in c["members"])
+                out.append({k: c[k] for k in ("path", "unit_seq", "def_key")} | {"source": _declaration(c) + body + "}\n"})
+            yield pa.RecordBatch.from_pylist(out, schema=to_arrow_schema(struct(SOURCE)))
+
+    return rows.mapInArrow(assemble, SOURCE)

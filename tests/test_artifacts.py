@@ -42,6 +42,20 @@ def test_header_and_members():
     assert [(m.kind, m.name) for m in f.members] == [("field", b"count"), ("method", b"<init>"), ("method", b"add"), ("method", b"call"), ("method", b"run")]
 
 
+def test_strict_and_forensic_headers():
+    good = A.sample_class("p", 0)
+    assert C.decode(good, strict=True).this == b"p/C0"
+    twice = A.Assembler("p/T")
+    twice.field("a", "I")
+    twice.field("a", "I")
+    flags = A.Assembler("p/F", flags=0x411)
+    for data, code in ((good[:60], None), (twice.build(), "member_twice"), (flags.build(), "class_flags"), (cls("p/N", None), "no_superclass")):
+        C.decode(data)
+        with pytest.raises(C.Damaged) as e:
+            C.decode(data, strict=True)
+        assert code in (None, e.value.code)
+
+
 def test_instruction_widths_of_finally_code():
     """The published (bci, opcode, width) of a compiled try/finally."""
     old = bytes.fromhex("1b0460" "3605" "a80005" "1505" "ac" "4e" "a80003" "2d" "bf" "4d" "840101" "a902")
@@ -546,8 +560,10 @@ def test_analysis_and_export(spark, units, tmp_path):
     for plane, values in methods.PLANES.items():
         assert {r[0] for r in text.select(plane).distinct().collect()} <= set(values)
     assert methods.source_map(text, bci=3).where("covered = 'return (p0 + p1);'").count() > 0
-    source = methods.class_source(units, text).where("source like '%class p1.C3 {%'").first()["source"]
-    assert "return (p0 + p1);" in source and source.index("<init>") < source.index("add(II)I")
+    sources = [r.source for r in methods.class_source(units, text).collect()]
+    source = next(x for x in sources if x.startswith("public class p1.C3 implements java.lang.Runnable {\n    public int count;\n"))
+    assert "    public int add(int p0, int p1) {\n        return (p0 + p1);\n    }\n" in source and source.index("<init>") < source.index("add(II)I")
+    assert "    public C3() {\n        super();\n    }\n" in source and any(x.startswith("public class p2.C5 extends p2.C6 {\n") for x in sources)
     files_ = artifacts.sample_files(spark, 3)
     assert sorted(map(str, export.events(units).collect())) == sorted(map(str, export.events_of_files(files_).collect()))
     only = S.decoded(files_, wanted=("xrefs",))
