@@ -4,7 +4,7 @@ from __future__ import annotations
 
 #: Entries of an archive in physical order: a manifest, a service, classes 0-19, a version of class 0, and an archive of classes 20-39.
 BASE = """WITH ent AS (SELECT k, i AS unit_seq, format('sample-{:04d}.jar', k) AS path, CAST(CASE WHEN i < 24 THEN 0 ELSE 1 END AS INTEGER) AS depth, CASE WHEN i < 24 THEN i ELSE i - 24 END AS ordinal,
-  CASE WHEN i BETWEEN 2 AND 21 THEN i - 2 WHEN i = 22 THEN 0 WHEN i >= 24 THEN i - 4 END AS c, CASE WHEN i = 22 THEN CAST(11 AS INTEGER) END AS variant_version
+  CASE WHEN i BETWEEN 2 AND 21 THEN i - 2 WHEN i = 22 THEN 0 WHEN i >= 24 THEN i - 4 END AS c, CAST(CASE WHEN i = 22 THEN 11 ELSE -1 END AS INTEGER) AS variant_version
   FROM range(64) AS a(k), range(44) AS b(i)),
 units AS (SELECT *, CASE unit_seq WHEN 0 THEN 'META-INF/MANIFEST.MF' WHEN 1 THEN 'META-INF/services/p' || k || '.C0' WHEN 23 THEN 'lib/inner.jar'
   ELSE CASE unit_seq WHEN 22 THEN 'META-INF/versions/11/' ELSE '' END || 'p' || k || '/C' || c || '.class' END AS name FROM ent),
@@ -24,7 +24,7 @@ SQL: dict[str, str] = {name: BASE + body for name, body in {
   'read' AS read_status, {_NONE} AS stop_code, variant_version FROM units""",
     "artifact_classes": """SELECT path, unit_seq, ordinal, name, variant_version, 52 AS major, 0 AS minor, 33 AS flags, this_class,
   CASE WHEN c % 5 = 0 THEN 'p' || k || '/C' || (c + 1) ELSE 'java/lang/Object' END AS super_class, 'complete' AS class_state, 'path_name_agrees' AS name_binding FROM cls""",
-    "artifact_members": """SELECT path, unit_seq, this_class, 'field' AS kind, 0 AS "index", 1 AS flags, 'count' AS name, 'I' AS descriptor, false AS has_code, CAST(NULL AS BIGINT) AS code_length FROM cls
+    "artifact_members": """SELECT path, unit_seq, this_class, 'field' AS kind, 0 AS "index", 1 AS flags, 'count' AS name, 'I' AS descriptor, false AS has_code, CAST(-1 AS BIGINT) AS code_length FROM cls
   UNION ALL SELECT path, unit_seq, this_class, 'method', member_index, 1, method, descriptor, true, code_length FROM cls, body""",
     "artifact_instructions": f"""SELECT path, unit_seq, this_class, member_index, bci, opcode, width FROM cls, (VALUES {", ".join(map(str, CODE))}) AS code(member_index, bci, opcode, width)""",
     "artifact_xref": f"""SELECT path, unit_seq, this_class, consumer, target_kind, 'p7/C3' AS owner, site.name, descriptor, member_index, bci, via FROM cls JOIN (VALUES
@@ -45,7 +45,7 @@ SQL: dict[str, str] = {name: BASE + body for name, body in {
   CAST(count(c) * (SELECT sum(code_length) FROM body) AS BIGINT) AS code_bytes, max(depth) AS nested_depth FROM units GROUP BY path""",
     "artifact_supertypes": """SELECT path, unit_seq AS root_seq, unit_seq AS node_seq, 0 AS depth FROM cls
   UNION ALL SELECT path, unit_seq, c + 3, 1 FROM cls WHERE depth = 0 AND c % 5 = 0""",
-    "artifact_declaration_refs": f"""SELECT path, unit_seq, this_class, {_CALL}, CASE WHEN c < 20 THEN 'resolved' ELSE 'missing' END AS state, CASE WHEN c < 20 THEN c + 2 END AS declared_seq FROM cls""",
+    "artifact_declaration_refs": f"""SELECT path, unit_seq, this_class, {_CALL}, CASE WHEN c < 20 THEN 'resolved' ELSE 'missing' END AS state, CASE WHEN c < 20 THEN c + 2 ELSE -1 END AS declared_seq FROM cls""",
     "artifact_dispatch": "SELECT path, unit_seq, this_class, 'add' AS name, '(II)I' AS descriptor, 1 AS depth, true AS open_world FROM cls WHERE k = 0 AND c = 0",
     "artifact_reflection": """SELECT format('reflect-{:04d}.jar', k) AS path, 'r' || k || '/R' AS this_class, CAST(m AS INTEGER) AS member_index, CAST(2 - m AS INTEGER) AS bci, 'java/lang/Class' AS owner,
   'forName' AS name, 'class' AS names, CASE m WHEN 0 THEN 'r' || k || '.Target' END AS target, CASE m WHEN 0 THEN 'pattern_inferred_target' ELSE 'unknown' END AS state,

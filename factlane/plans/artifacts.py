@@ -64,9 +64,10 @@ def reflective_units(spark: SparkSession, archives: int = ARCHIVES) -> DataFrame
 
 
 def _plain(df: DataFrame, *columns: str) -> DataFrame:
-    """The columns, names and texts of class files as strings."""
+    """The columns, names and texts of class files as strings, numbers that are absent as -1."""
     kinds = dict(df.dtypes)
-    return df.select(*[F.decode(c, "UTF-8").alias(c) if kinds[c] == "binary" else F.col(c) for c in columns or df.columns])
+    shown = {"binary": lambda c: F.decode(c, "UTF-8"), "int": lambda c: F.coalesce(c, F.lit(-1)), "bigint": lambda c: F.coalesce(c, F.lit(-1).cast("long"))}
+    return df.select(*[shown.get(kinds[c], F.col)(c).alias(c) for c in columns or df.columns])
 
 
 def _items(request: QueryRequest, *columns: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -105,7 +106,7 @@ def _dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _multi_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = settled(sample_units(spark, wanted=()), "sample-units")
     where = u.select("container_id", "path", "depth").distinct()
-    return S.runtime_matrix(u, [8, 11]).join(where, "container_id").select("path", "depth", "ordinal", "plain_name", "variant_version", "release", "selected")
+    return _plain(S.runtime_matrix(u, [8, 11]).join(where, "container_id"), "path", "depth", "ordinal", "plain_name", "variant_version", "release", "selected")
 
 
 def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,8 +115,8 @@ def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "artifact_entries": lambda spark, sf_dir: S.entries(sample_units(spark, wanted=())).select(
-        "path", "depth", "ordinal", "name", "method", "is_dir", "is_class_candidate", "read_status", "stop_code", "variant_version"),
+    "artifact_entries": lambda spark, sf_dir: _plain(S.entries(sample_units(spark, wanted=())), "path", "depth", "ordinal", "name", "method", "is_dir", "is_class_candidate", "read_status",
+                                                     "stop_code", "variant_version"),
     "artifact_classes": lambda spark, sf_dir: _plain(S.classes(sample_units(spark, wanted=())), "path", "unit_seq", "ordinal", "name", "variant_version", "major", "minor", "flags",
                                                      "this_class", "super_class", "class_state", "name_binding"),
     "artifact_members": lambda spark, sf_dir: _plain(S.members(sample_units(spark, wanted=("members",))), "path", "unit_seq", "this_class", "kind", "index", "flags", "name", "descriptor",
