@@ -134,3 +134,31 @@ def test_sample_with_too_large_a_document(spark):
     skewed = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("many "), 1000)).otherwise(F.col("text")))
     got = [r.text for r in Q.sample(skewed, trusted, most_words=200).collect()]
     assert got.count("one two three") > 10 and sum(len(t.split()) for t in got) <= 200 and set(got) == {"one two three"}
+
+
+def test_all_trusted_documents_train(spark):
+    """More documents and words than the 6,000 and 2.5 million that once bounded the sample."""
+    ids = spark.range(9000).withColumnRenamed("id", "doc_id")
+    trusted = Q.trusted_ids(ids.selectExpr("doc_id", "1 as quality", "0 as toxic"))
+    train = trusted.where(~F.col("calibrates")).count()
+    assert train > 6000
+    docs = ids.selectExpr("doc_id", "concat('of word', doc_id, repeat(' many', 400)) as text")
+    learnt = Q.chosen(docs, trusted)
+    assert learnt.count() == train and train * 402 > 2_500_000
+    model = Q.counted(learnt)
+    told = model.formula
+    assert told.kinds == train + 3  # each document's own word, "of", "many" and the end
+
+
+def test_dealt_scores_against_brute_force(spark, monkeypatch):
+    """Documents over several tasks and rounds are scored as one process would."""
+    monkeypatch.setattr(Q, "ROUND_BYTES", 64)
+    p, _ = brute(TEXTS)
+    docs = [(i, t, "en") for i, t in enumerate([*TEXTS, "a b zzz the mat", "q", None])]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
+    model = Q.train(spark.createDataFrame([(t,) for t in TEXTS], "text string").repartition(3))
+    got = {r.doc_id: r for r in Q.score(d, model).collect()}
+    assert len(got) == len(docs)
+    for i, t, _ in docs:
+        w = ["<s>", "<s>", *t.split(), "</s>"] if t and t.split() else []
+        assert abs(got[i].log10_prob - sum(math.log10(p(*w[k - 2 : k + 1])) for k in range(2, len(w)))) < 1e-6
