@@ -41,8 +41,9 @@ LEAST = 50
 #: Rounds in which documents are scored: one for each ROUND_BYTES of input, ROUNDS at most.
 ROUNDS = 16
 ROUND_BYTES = 32 << 20
-#: Turns in which n-grams are counted, likewise.
+#: Turns in which n-grams are counted: one for each TURN_BYTES of text, TURNS at most.
 TURNS = 8
+TURN_BYTES = 64 << 20
 #: Ids of documents that are broadcast at most; more are joined by shuffle.
 FEW = 1_000_000
 #: What is counted for a word or a pair: the words before it, and as a context: all that follow, and kinds that follow
@@ -293,7 +294,8 @@ def counted(texts: DataFrame) -> Model:
     pairs and trigrams is dealt by those and added up.  Their hashes take turns, which bounds what is shuffled at once."""
     n = partitions(texts.sparkSession)
     rows = texts.select(F.col("text").cast("string").alias("text"))
-    turns = min(TURNS, 1 + plan_bytes(rows) // ROUND_BYTES)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # files of texts are smaller than texts, by far where these repeat
+    turns = min(TURNS, 1 + size // TURN_BYTES)
     parts = []
     for k in range(turns):
         facts = rows.mapInArrow(_grams(n, k, turns), _GRAMS_DDL).groupBy("bucket").applyInArrow(_facts(n), _FACTS_DDL)

@@ -162,3 +162,15 @@ def test_dealt_scores_against_brute_force(spark, monkeypatch):
     for i, t, _ in docs:
         w = ["<s>", "<s>", *t.split(), "</s>"] if t and t.split() else []
         assert abs(got[i].log10_prob - sum(math.log10(p(*w[k - 2 : k + 1])) for k in range(2, len(w)))) < 1e-6
+
+
+def test_turns_go_by_text_and_not_by_its_files(spark, monkeypatch):
+    """Texts that files hold in far fewer bytes are still counted a share at a time, with the same counts."""
+    for name in ("ROUND_BYTES", "TURN_BYTES"):
+        monkeypatch.setattr(Q, name, 100_000, raising=False)
+    seen, plain = [], Q._grams
+    monkeypatch.setattr(Q, "_grams", lambda n, turn, turns: seen.append((turn, turns)) or plain(n, turn, turns))
+    texts = Q.stored(spark.range(60).selectExpr("concat('word', id, repeat(' a b c', 1000)) as text"), "texts")
+    model = Q.counted(texts)
+    assert seen == [(k, 4) for k in range(4)]
+    assert model.formula.kinds == 60 + 3 + 1
